@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The accented letters that the pure-SQL form folds.
 ACCENTED = "àâäçéèêëîïôöùûüñáíóú"
@@ -18,7 +19,7 @@ def fold_accents(c: Column) -> Column:
     return F.trim(F.translate(F.lower(c), ACCENTED, PLAIN))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalise(values: pd.Series) -> pd.Series:
     """NFKD, combining marks dropped, case folded, trimmed."""
     strip = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)).casefold().strip()

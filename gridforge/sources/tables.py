@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 def read_manifest(spark: SparkSession, path: str, schema: StructType | str, required: list[str], state: str | None = "state") -> DataFrame:
     """A CSV manifest: empty strings stay empty, states are upper-cased, anything but PASS raises."""
-    df = spark.read.csv(path, header=True, schema=schema, nullValue="\u0000", emptyValue="")
+    df = spark.read.csv(path, header=True, schema=schema, nullValue="\u0000", emptyValue="").fillna("")
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"{path} lacks {missing}")
