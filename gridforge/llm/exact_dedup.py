@@ -1,8 +1,8 @@
 """Exact deduplication by content sort, in DataFrame operations only.
 
-Sampled splitters range-partition the normalised texts, Spark's external sort puts equal texts side
-by side, and a window over (text, salt) compares neighbours in full. The window's keys are the
-range's keys, so sorting and comparing take one exchange. The salt is 0 except for texts that a
+Sampled splitters range-partition the normalised texts by their leading bytes and a hash, Spark's
+external sort puts equal texts side by side, and a window compares neighbours' whole texts. The
+window's keys begin with the range's keys, so sorting and comparing take one exchange. The salt is 0 except for texts that a
 sample shows to fill more than a quarter of a partition (at most 4 x partitions of them): their rows
 are dealt out by document, and what their parts have in common is added up before any shuffle and
 joined back by digest from a broadcast of at most that many short rows.
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ._frames import pick, shards_of
 
+#: Characters of a text that splitters are made of.
+HEAD = 32
 #: White space runs that are not one plain space already; each becomes one space.
 RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -39,16 +41,18 @@ def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     sample = hashed(docs if share == 1.0 else docs.sample(share, seed=7)).groupBy("h").count()
     hot = [r.h for r in sample.filter(F.col("count") > F.lit(max(8.0, 0.75 * share * rows / (4 * n)))).orderBy(F.desc("count")).limit(4 * n).collect()]
 
-    if hot:
-        dealt = hashed(docs).select("doc_id", "norm", F.when(F.col("h").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(F.lit(-1)).alias("salt"))
-        keys = ["norm", "salt"]
-    else:  # a constant salt would vanish from the range and cost the window an exchange of its own
-        dealt, keys = normal(docs), ["norm"]
-    same = Window.partitionBy(*keys)
+    # splitters are sampled from the leading bytes, the hash and the salt, so the driver sees a few
+    # dozen bytes of a sampled row; the whole text decides within the partition
+    keys = ["head", "h", "salt"]
+    spread = F.when(F.col("h").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(F.lit(-1)) if hot else F.lit(-1)
+    dealt = hashed(docs).select("doc_id", "norm", "h", F.substring("norm", 1, HEAD).alias("head"), spread.alias("salt"))
+    if not hot:  # a constant would vanish from the range
+        keys = keys[:2]
+    same = Window.partitionBy(*keys, "norm")
     inside = (
         dealt.repartitionByRange(n, *keys)
-        .select("doc_id", *keys, F.row_number().over(same.orderBy(F.col("doc_id").asc_nulls_last())).alias("place"), F.min("doc_id").over(same).alias("keep_id"), F.count("*").over(same).alias("group_size"))
-        .select("doc_id", *keys[1:], "place", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256"))
+        .select("doc_id", "norm", "salt", F.row_number().over(same.orderBy(F.col("doc_id").asc_nulls_last())).alias("place"), F.min("doc_id").over(same).alias("keep_id"), F.count("*").over(same).alias("group_size"))
+        .select("doc_id", "salt", "place", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256"))
     )
     if hot:
         whole = hashed(docs).filter(F.col("h").isin(hot)).groupBy("norm").agg(F.min("doc_id").alias("all_id"), F.count("*").alias("all_size"))
