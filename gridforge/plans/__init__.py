@@ -1 +1,5 @@
-"""Plans of the engine."""
+"""Plans of the engine; importing it registers the queries of all its modules."""
+
+from . import model_queries, queries, report_queries
+
+__all__ = ["model_queries", "queries", "report_queries"]
