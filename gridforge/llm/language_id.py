@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._frames import pick
@@ -202,13 +202,11 @@ def train(df: DataFrame, sample: int = 1000, length: int = 32, rounds: int = 80,
     a repeated row counts again. With no labelled text every prediction is ``und``."""
     rows = pick(df, id_column, text_column, lang_column).toDF("doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
     names = sorted(r.lang for r in rows.select("lang").distinct().collect())
-    texts, labels = [], []
-    for k, name in enumerate(names):
-        chosen = rows.filter(F.col("lang") == name).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, sample // len(names)))
-        got = rows.filter(F.col("lang") == name).join(F.broadcast(chosen), "doc_id", "left_semi").select("text").toLocalIterator()
-        for text in sorted(r.text for r in got):
-            texts.append(text)
-            labels.append(k)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = rows.select("lang", "doc_id").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(1, sample // max(1, len(names)))).select("lang", "doc_id")
+    got = rows.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "text").toLocalIterator()
+    pairs = sorted((names.index(r.lang), r.text) for r in got)
+    labels, texts = [k for k, _ in pairs], [t for _, t in pairs]
     return fit(texts, labels, names, length, rounds)
 
 
