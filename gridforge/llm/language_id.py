@@ -27,6 +27,7 @@ BITS = 17
 LETTER = np.zeros(256, bool)
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = LETTER[0x80:] = True
 UNKNOWN = "und"
+SALTS = 16
 
 
 @dataclass
@@ -202,8 +203,12 @@ def train(df: DataFrame, sample: int = 1000, length: int = 32, rounds: int = 80,
     a repeated row counts again. With no labelled text every prediction is ``und``."""
     rows = pick(df, id_column, text_column, lang_column).toDF("doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
     names = sorted(r.lang for r in rows.select("lang").distinct().collect())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("lang", "doc_id").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(1, sample // max(1, len(names)))).select("lang", "doc_id")
+    most = max(1, sample // max(1, len(names)))
+    chosen = rows.select("lang", "doc_id").distinct().withColumns({"hash": F.xxhash64("doc_id"), "salt": F.pmod(F.hash("doc_id"), F.lit(SALTS))})
+    for by in (("lang", "salt"), ("lang",)):  # a language may hold most rows: its last window sees SALTS * most of them
+        order = Window.partitionBy(*by).orderBy("hash", "doc_id")
+        chosen = chosen.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    chosen = chosen.select("lang", "doc_id")
     got = rows.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "text").toLocalIterator()
     pairs = sorted((names.index(r.lang), r.text) for r in got)
     labels, texts = [k for k, _ in pairs], [t for _, t in pairs]

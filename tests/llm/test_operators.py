@@ -361,3 +361,18 @@ def test_language_frame(spark):
     got = language_id.train(docs).predict_frame(docs).collect()
     assert len(got) == 64 and {r.lang_pred for r in got if r.doc_id in (100, 101, 102)} == {"und"}
     assert all(r.lang_pred == data[r.doc_id][2] for r in got if r.doc_id is not None and r.doc_id < 60)
+
+
+def test_language_sample_is_of_the_smallest_hashes(spark, monkeypatch):
+    """One language holds most rows; of each the same number is learnt, repeated rows with their ids."""
+    data = [(k, f"text{k}", "aa" if k % 10 else "bb") for k in range(400)] + [(3, "again", "aa"), (None, "x", "aa"), (5, None, "aa"), (6, "x", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(7)
+    seen = {}
+    monkeypatch.setattr(language_id, "fit", lambda texts, labels, names, length, rounds: seen.update(texts=texts, labels=labels, names=names))
+    language_id.train(docs, sample=60)
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    want = []
+    for label, name in enumerate(["aa", "bb"]):
+        ids = sorted({i for i, t, n in data if n == name and i is not None and t is not None}, key=lambda i: (hashes[i], i))[:30]
+        want += sorted((label, t) for i, t, n in data if n == name and i in ids and t is not None)
+    assert seen["names"] == ["aa", "bb"] and list(zip(seen["labels"], seen["texts"], strict=True)) == want
