@@ -1,10 +1,13 @@
-"""Benchmark decontamination with spaced seeds.
+"""Benchmark decontamination with seeds that no leak can miss.
 
-Fixed masks pick some of neighbouring words and ignore the others, so a seed still hits where an
-ignored word was replaced. Seeds of all benchmark items are sorted arrays; each task looks up the
-seeds at every word of its texts, turns hits into diagonals (item, place in the text less place in
-the item) and verifies each diagonal once: the best run along it, a match counting one and a
-substitution taking away what ``percent`` allows, must have enough matching words.
+A run of m matching words with s replaced ones has m / (s + 1) neighbouring matches at least, rounded
+up. For each length of an item the least of these over all runs that count is the length of its seeds,
+three words for nearly all at 75 percent; short items for which it is less have spaced seeds for the
+patterns without three neighbours too. Seeds of all items are sorted arrays; each task looks up the
+seeds at every word of its texts, turns hits into diagonals (item, place in the text less place in the
+item) and compares the words along each diagonal once, many diagonals at a time. Where enough words
+match in all, the best run along it, a match counting one and a substitution taking away what
+``percent`` allows, must have enough matching words.
 
 The benchmark is worked off in blocks of at most ``BLOCK`` bytes of text, which is what a worker
 holds; documents are never shuffled.
@@ -13,6 +16,7 @@ holds; documents are never shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import blob_batches, pick
+from ._frames import blob_batches, lookup, pick
 from ._text import BASE, mix, slices, span_hashes, spans, utf8
 
-#: The masks, six or more words of at most eleven.
-MASKS = ("111111", "11011011", "1101100111", "10110110011")
+#: Words of a seed that is sure to hit, where runs allow so many; items up to SHORT words have spaced seeds for SEED neighbours or more.
+SEED, MOST_SEED, SHORT = 3, 8, 12
 LEAST_ITEM = 5
+#: Hits, and words along diagonals, that are worked off at a time.
+PIECE = 1 << 21
 BLOCK = 32 << 20
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x41:0x5B] = WORD[0x61:0x7B] = WORD[0x80:] = True
@@ -51,39 +57,90 @@ def seeds(hashes: np.ndarray, rows: np.ndarray, mask: str) -> tuple[np.ndarray,
     return mix(total[at] ^ np.uint64(sum(1 << k for k, b in enumerate(mask) if b == "1"))), at
 
 
+def least_match(size: int, least_words: int, percent: int) -> int:
+    """Matching words that a run needs in an item of so many words."""
+    return max(1, min(least_words, -(-percent * size // 100)))
+
+
+def masks_of(size: int, least_words: int, percent: int) -> set[str]:
+    """Masks of which one hits in every run of ``percent`` agreement and enough matches in an item of ``size`` words."""
+    need = least_match(size, least_words, percent)
+    match = np.arange(need, size + 1)
+    other = np.minimum(match * (100 - percent) // percent, size - match)
+    sure = int((-(-match // (other + 1))).min())
+    if sure >= SEED or size > SHORT:
+        return {"1" * min(sure, MOST_SEED)}
+    run = "1" * SEED
+    every = ("".join("01"[k in at] for k in range(size)) for at in map(set, combinations(range(size), need)))
+    return {run} | {mask.strip("0") for mask in every if run not in mask}
+
+
 class Index:
-    """Seeds of a block of items, sorted, with item and place; items shorter than a mask have one seed of all their words."""
+    """Seeds of a block of items by mask, sorted, with their places."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], least_words: int, percent: int):
         self.ids = ids
         self.hashes, self.rows = word_hashes(pa.array(texts, pa.large_string()))
         size = np.diff(self.rows)
-        self.masks = [*MASKS, *("1" * k for k in range(LEAST_ITEM, len(MASKS[0])) if np.any(size == k))]
+        self.need = np.zeros(len(ids), np.int64)
+        owners: dict[str, np.ndarray] = {}
+        for n in np.unique(size[size >= LEAST_ITEM]).tolist():
+            self.need[size == n] = least_match(n, least_words, percent)
+            for mask in masks_of(n, least_words, percent):
+                owners[mask] = owners.get(mask, False) | (size == n)
         item_of = np.repeat(np.arange(len(ids)), size)
         self.tables = []
-        for mask in self.masks:
+        for mask, own in owners.items():
             key, at = seeds(self.hashes, self.rows, mask)
-            if len(mask) < len(MASKS[0]):
-                whole = size[item_of[at]] == len(mask)
-                key, at = key[whole], at[whole]
+            mine = own[item_of[at]]
+            key, at = key[mine], at[mine]
             order = np.argsort(key, kind="stable")
-            self.tables.append((key[order], item_of[at][order], at[order]))
-
-    def hits(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (item, diagonal) pairs: where the item's first word would stand."""
-        items, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for mask, (keys, item, at) in zip(self.masks, self.tables, strict=True):
-            if not len(keys):
-                continue
+            self.tables.append((mask, key[order], at[order]))
+
+    def hits(self, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, row, where the item's first word would stand), distinct for each piece of hits."""
+        for mask, keys, at in self.tables:
             mine, place = seeds(hashes, rows, mask)
-            low, high = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
-            many = high - low
-            some = np.flatnonzero(many)
-            pick_ = np.arange(many[some].sum()) + np.repeat(low[some] - np.concatenate(([0], np.cumsum(many[some])[:-1])), many[some])
-            items.append(item[pick_])
-            places.append(np.repeat(place[some], many[some]) - (at[pick_] - self.rows[item[pick_]]))
-        pairs = np.unique(np.stack([np.concatenate(items), np.concatenate(places)], 1), axis=0) if sum(map(len, items)) else np.zeros((0, 2), np.int64)
-        return pairs[:, 0], pairs[:, 1]
+            low, some = lookup(keys, mine)
+            some = np.flatnonzero(some)
+            low, place = low[some], place[some]
+            many = np.searchsorted(keys, mine[some], "right") - low
+            edge = np.concatenate(([0], np.cumsum(many)))
+            k = 0
+            while k < len(some):
+                stop = max(k + 1, int(np.searchsorted(edge, edge[k] + PIECE, "right")) - 1)
+                n = many[k:stop]
+                word = at[np.arange(n.sum()) + np.repeat(low[k:stop] - (edge[k:stop] - edge[k]), n)]
+                yield self._diagonals(np.repeat(place[k:stop], n), word, hashes, rows)
+                k = stop
+
+    def _diagonals(self, place, word, hashes, rows):
+        code = np.sort((place - word + len(self.hashes)) * len(hashes) + place)
+        shift, place = code // len(hashes) - len(self.hashes), code % len(hashes)
+        row = np.searchsorted(rows, place, "right") - 1
+        item = np.searchsorted(self.rows, place - shift, "right") - 1
+        new = np.ones(len(code), bool)
+        new[1:] = (np.diff(shift) != 0) | (np.diff(row) != 0) | (np.diff(item) != 0)
+        return item[new], row[new], (shift + self.rows[item])[new]
+
+    def compared(self, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(item, row, where the item begins, first word compared, edges, agreement of each word) of diagonals with enough matches in all."""
+        for item, row, at in self.hits(hashes, rows):
+            low = np.maximum(at, rows[row])
+            size = np.minimum(at + self.rows[item + 1] - self.rows[item], rows[row + 1]) - low
+            some = np.flatnonzero(size >= self.need[item])
+            item, row, at, low, size = (x[some] for x in (item, row, at, low, size))
+            total = np.concatenate(([0], np.cumsum(size)))
+            k = 0
+            while k < len(some):
+                stop = max(k + 1, int(np.searchsorted(total, total[k] + PIECE, "right")) - 1)
+                n, edge = size[k:stop], total[k : stop + 1] - total[k]
+                word = np.arange(edge[-1]) + np.repeat(low[k:stop] - edge[:-1], n)
+                same = hashes[word] == self.hashes[word - np.repeat((at - self.rows[item])[k:stop], n)]
+                enough = np.add.reduceat(same, edge[:-1], dtype=np.int64) >= self.need[item[k:stop]]
+                if enough.any():
+                    yield *(x[k:stop][enough] for x in (item, row, at, low)), np.concatenate(([0], np.cumsum(n[enough]))), same[np.repeat(enough, n)]
+                k = stop
 
 
 def best_run(same: np.ndarray, percent: int) -> tuple[int, int]:
@@ -98,8 +155,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_words: int = 13,
     """doc_id, item_id, n_words, n_match, similarity, doc_word, item_word of every leak.
 
     A leak is a run of words of a text, word by word beside an item, of which at least ``percent``
-    agree and at least ``least_words`` match (for shorter items that share of their words); it needs
-    one seed hit. Of several runs of an item in a text the one with most matches counts, of equal
+    agree and at least ``least_words`` match (for shorter items that share of their words). Of several runs of an item in a text the one with most matches counts, of equal
     ones the first. Items of fewer than 5 words are not looked for; null or empty texts and items
     have no words. Rows without doc_id are searched and reported without one; repeated rows report
     each; an empty table gives an empty result; only the named columns are read. Words are compared
@@ -118,31 +174,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_words: int = 13,
         sent = docs.sparkSession.sparkContext.broadcast(got)  # at most about BLOCK bytes
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(*(list(c) for c in zip(*sent.value, strict=True))) if sent.value else None
+            index = Index(*(list(c) for c in zip(*sent.value, strict=True)), least_words, percent) if sent.value else None
             for batch in batches if index else ():
                 for part in slices(batch, "text", 4 << 20):
                     hashes, rows = word_hashes(part.column(1))
                     best: dict[tuple[int, int], tuple] = {}
-                    for item, at in zip(*(x.tolist() for x in index.hits(hashes, rows)), strict=True):
-                        first, last = int(index.rows[item]), int(index.rows[item + 1])
-                        for r in _touched(rows, at, last - first):
-                            low, high = max(at, int(rows[r])), min(at + last - first, int(rows[r + 1]))
-                            same = hashes[low:high] == index.hashes[first + low - at : first + high - at]
-                            start, end = best_run(same, percent)
-                            match = int(same[start:end].sum())
-                            if match < min(least_words, -(-percent * (last - first) // 100)):
+                    for item, row, at, low, edge, same in index.compared(hashes, rows):
+                        for k, (i, r) in enumerate(zip(item.tolist(), row.tolist(), strict=True)):
+                            mine = same[edge[k] : edge[k + 1]]
+                            start, end = best_run(mine, percent)
+                            match = int(mine[start:end].sum())
+                            if match < index.need[i]:
                                 continue
-                            found = (end - start, match, match / (end - start), low + start - int(rows[r]), low + start - at)
-                            if (r, item) not in best or match > best[r, item][1]:
-                                best[r, item] = found
+                            found = (end - start, match, match / (end - start), int(low[k] - rows[r]) + start, int(low[k] - at[k]) + start)
+                            if (r, i) not in best or (match, -found[3], -found[4]) > (best[r, i][1], -best[r, i][3], -best[r, i][4]):
+                                best[r, i] = found
                     yield from blob_batches(((part.column(0)[r].as_py(), index.ids[item], *x) for (r, item), x in sorted(best.items())), names, types)
 
         leaks = texts.mapInArrow(find, "doc_id long, item_id long, n_words long, n_match long, similarity double, doc_word long, item_word long")
         out = leaks if out is None else out.unionByName(leaks)
     return out
-
-
-def _touched(rows: np.ndarray, at: int, size: int) -> range:
-    """The rows that words at to at + size lie in."""
-    low, high = max(at, 0), min(at + size, int(rows[-1]))
-    return range(int(np.searchsorted(rows, low, "right")) - 1, int(np.searchsorted(rows, high, "left")))

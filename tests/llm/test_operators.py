@@ -274,6 +274,27 @@ def test_decontaminate_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, bench).collect()} == {(k, k) for k in range(9)}
 
 
+@pytest.mark.parametrize("size", [5, 6, 7, 8, 9, 10, 12, 13, 16, 17, 18])
+def test_seeds_hit_every_run_that_counts(size):
+    need = decontaminate.least_match(size, 13, 75)
+    masks = [int(m, 2) << k for m in decontaminate.masks_of(size, 13, 75) for k in range(size - len(m) + 1)]
+    for same in range(1 << size):
+        text = f"{same:0{size}b}".strip("0")
+        if text.count("1") >= need and 4 * text.count("1") >= 3 * len(text):
+            assert any(same & m == m for m in masks), f"{same:0{size}b}"
+
+
+@pytest.mark.parametrize("size", [40])
+@pytest.mark.parametrize("step", [5, 7])
+def test_decontaminate_finds_spaced_substitutions(spark, size, step):
+    items = [[f"i{k}x{j}" for j in range(size)] for k in range(step)]
+    docs = [" ".join(["before", "it", *(w if j % step != k else "CHANGED" for j, w in enumerate(item)), "after"]) for k, item in enumerate(items)]
+    match = {k: sum(j % step != k for j in range(size)) for k in range(step)}
+    want = {(k, k) for k, m in match.items() if m >= min(13, -(-75 * size // 100))}
+    got = decontaminate.contamination(spark.createDataFrame(list(enumerate(docs)), SCHEMA), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and want
+
+
 @pytest.fixture(scope="module")
 def model():
     return bpe.Bpe(vocabulary())
