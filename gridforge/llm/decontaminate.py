@@ -6,8 +6,7 @@ three words for nearly all at 75 percent; short items for which it is less have
 patterns without three neighbours too. Seeds of all items are sorted arrays; each task looks up the
 seeds at every word of its texts, turns hits into diagonals (item, place in the text less place in the
 item) and compares the words along each diagonal once, many diagonals at a time. Where enough words
-match in all, the best run along it, a match counting one and a substitution taking away what
-``percent`` allows, must have enough matching words.
+match in all, the run with most matches of those that agree in ``percent`` must have enough of them.
 
 The benchmark is worked off in blocks of at most ``BLOCK`` bytes of text, which is what a worker
 holds; documents are never shuffled.
@@ -143,12 +142,28 @@ class Index:
                 k = stop
 
 
-def best_run(same: np.ndarray, percent: int) -> tuple[int, int]:
-    """(start, end) of the run of the largest score; a match scores 100 - percent, a substitution -percent."""
-    total = np.concatenate(([0], np.cumsum(np.where(same, 100 - percent, -percent))))
-    low = np.minimum.accumulate(total)
-    end = int((total - low).argmax())
-    return int(total[: end + 1].argmin()), end
+def longest_runs(same: np.ndarray, edge: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, matches) of the run with most matches and ``percent`` agreement in each of the parts, of equal ones the first.
+
+    For an end the best start is the first one whose prefix sum (a match adds 100 - percent, a
+    substitution takes percent) isn't larger than the end's.
+    """
+    parts, size = len(edge) - 1, np.diff(edge) + 1
+    of = np.repeat(np.arange(parts), size)
+    place = np.arange(len(of)) - of
+    score = np.concatenate(([0], np.cumsum(np.where(same, 100 - percent, -percent))))
+    # parts lie below one another, so no start is found in a part before
+    total = (score[place] - np.repeat(score[edge[:-1]], size)) - of * (200 * int(size.max()))
+    start = place[np.searchsorted(-np.minimum.accumulate(total), -total)]
+    match = np.concatenate(([0], np.cumsum(same)))
+    many = match[place] - match[start]
+    most = np.maximum.reduceat(many, edge[:-1] + np.arange(parts))
+    first = np.flatnonzero(many == np.repeat(most, size))
+    first = first[np.searchsorted(of[first], np.arange(parts))]
+    # a run begins with a match
+    hit = np.append(np.flatnonzero(same), len(same))
+    begin = np.minimum(hit[np.searchsorted(hit, start[first])], place[first])
+    return begin - edge[:-1], place[first] - edge[:-1], most
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, percent: int = 75, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
@@ -180,13 +195,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_words: int = 13,
                     hashes, rows = word_hashes(part.column(1))
                     best: dict[tuple[int, int], tuple] = {}
                     for item, row, at, low, edge, same in index.compared(hashes, rows):
-                        for k, (i, r) in enumerate(zip(item.tolist(), row.tolist(), strict=True)):
-                            mine = same[edge[k] : edge[k + 1]]
-                            start, end = best_run(mine, percent)
-                            match = int(mine[start:end].sum())
-                            if match < index.need[i]:
-                                continue
-                            found = (end - start, match, match / (end - start), int(low[k] - rows[r]) + start, int(low[k] - at[k]) + start)
+                        start, end, most = longest_runs(same, edge, percent)
+                        some = np.flatnonzero(most >= index.need[item])
+                        columns = (item, row, start, end, most, low - rows[row] + start, low - at + start)
+                        for i, r, start_, end_, match, word, place in zip(*(x[some].tolist() for x in columns), strict=True):
+                            found = (end_ - start_, match, match / (end_ - start_), word, place)
                             if (r, i) not in best or (match, -found[3], -found[4]) > (best[r, i][1], -best[r, i][3], -best[r, i][4]):
                                 best[r, i] = found
                     yield from blob_batches(((part.column(0)[r].as_py(), index.ids[item], *x) for (r, item), x in sorted(best.items())), names, types)

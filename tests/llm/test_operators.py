@@ -284,7 +284,7 @@ def test_seeds_hit_every_run_that_counts(size):
             assert any(same & m == m for m in masks), f"{same:0{size}b}"
 
 
-@pytest.mark.parametrize("size", [40])
+@pytest.mark.parametrize("size", [5, 6, 8, 20, 40])
 @pytest.mark.parametrize("step", [5, 7])
 def test_decontaminate_finds_spaced_substitutions(spark, size, step):
     items = [[f"i{k}x{j}" for j in range(size)] for k in range(step)]
@@ -295,6 +295,35 @@ def test_decontaminate_finds_spaced_substitutions(spark, size, step):
     assert {(r.doc_id, r.item_id) for r in got} == want and want
 
 
+def test_longest_runs_are_brute_force():
+    rng = np.random.default_rng(1)
+    parts = [rng.random(rng.integers(1, 40)) < share for share in (0.0, 0.3, 0.6, 0.75, 0.9, 1.0) for _ in range(40)]
+    edge = np.cumsum([0, *map(len, parts)])
+    for part, start, end, most in zip(parts, *decontaminate.longest_runs(np.concatenate(parts), edge, 75), strict=True):
+        runs = [(a, b) for b in range(1, len(part) + 1) for a in range(b) if 4 * part[a:b].sum() >= 3 * (b - a)]
+        assert most == max((part[a:b].sum() for a, b in runs), default=0) == part[start:end].sum()
+        assert not most or ((start, end) in runs and part[start] and part[end - 1])
+
+
+def test_decontaminate_is_brute_force(spark):
+    rng = random.Random(8)
+    items, docs = [[f"i{k}x{j}" for j in range(rng.choice([5, 6, 8, 12, 17, 20, 40]))] for k in range(60)], []
+    changes = [lambda j, n: j % 4 == 3, lambda j, n: j % 5 == 2, lambda j, n: rng.random() < 0.2, lambda j, n: rng.random() < 0.3, lambda j, n: 2 * n // 5 <= j < 3 * n // 5]
+    for k, item in enumerate(items):
+        docs.append([*["before"] * rng.randint(0, 3), *("CHANGED" if changes[k % 5](j, len(item)) else w for j, w in enumerate(item)), *["after"] * rng.randint(0, 3)])
+    want = {}
+    for k, (doc, item) in enumerate(zip(docs, items, strict=True)):
+        most = 0
+        for at in range(-len(item), len(doc)):
+            same = [doc[at + j] == w for j, w in enumerate(item) if 0 <= at + j < len(doc)]
+            most = max([most, *(sum(same[a:b]) for b in range(len(same) + 1) for a in range(b) if 4 * sum(same[a:b]) >= 3 * (b - a))])
+        if most >= min(13, -(-75 * len(item) // 100)):
+            want[k, k] = most
+    got = decontaminate.contamination(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], SCHEMA).repartition(3), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.n_match for r in got} == want and 10 < len(want) < 60
+    assert all(4 * r.n_match >= 3 * r.n_words for r in got)
+
+
 @pytest.fixture(scope="module")
 def model():
     return bpe.Bpe(vocabulary())
