@@ -8,6 +8,9 @@ n-gram instead, and their parts are added up. Each shard writes its sorted hashe
 the shared folder; the next lower order gets the distinct words in front of each n-gram
 (continuation counts) in the same way.
 
+Grams travel as codes into the blob's own list of words, as narrow as the list allows, and all counts
+are as narrow as their largest.
+
 Scoring. Workers map the files into memory and look up a batch's sorted hashes; no table of the
 model's size is broadcast or held by the driver.
 """
@@ -72,6 +75,59 @@ def summed(key: np.ndarray, columns: list[np.ndarray], count: np.ndarray) -> tup
     return key[first], [c[order][first] for c in columns], np.add.reduceat(count[order], first)
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Counts as the smallest unsigned type that holds them all."""
+    return x.astype(np.min_scalar_type(int(x.max()) if x.size else 0))
+
+
+def read_narrow(folder: Folder, name: str, rows: int, width: int = 1) -> np.ndarray:
+    """What narrow() made of rows x width counts; the file's size tells the type."""
+    raw = folder.read(name, np.uint8)
+    return raw.view(f"u{len(raw) // (rows * width)}") if rows else raw
+
+
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of one length, each in its own type."""
+    head = np.array([len(columns[0]), *(c.itemsize for c in columns)], np.int64)
+    return b"".join([head.tobytes(), *(np.ascontiguousarray(c).tobytes() for c in columns)])
+
+
+def unpacked(blob: bytes, width: int, at: int = 0) -> tuple[list[np.ndarray], int]:
+    """The columns that packed() put at a place of the blob, and where they end."""
+    size, *kinds = np.frombuffer(blob, np.int64, width + 1, at).tolist()
+    at += 8 * (width + 1)
+    columns = []
+    for kind in kinds:
+        columns.append(np.frombuffer(blob, f"u{kind}", size, at))
+        at += size * kind
+    return columns, at
+
+
+def by_shard_narrow(shard: np.ndarray, n: int, columns: list[np.ndarray], count: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(shard, its distinct words, and its grams as codes into them with counts) of each shard that has grams."""
+    order = np.argsort(shard, kind="stable")
+    edge = np.searchsorted(shard[order], np.arange(n + 1))
+    for k in np.flatnonzero(np.diff(edge)):
+        mine = order[edge[k] : edge[k + 1]]
+        kinds, code = np.unique(np.concatenate([c[mine] for c in columns]), return_inverse=True)
+        code = narrow(code).reshape(len(columns), -1)
+        side = np.argsort(code[0], kind="stable")  # a column in order takes little room once compressed
+        yield int(k), packed([kinds]) + packed([*(c[side] for c in code), narrow(count[mine][side])])
+
+
+def unpack_narrow(blobs, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(columns of words, counts) of by_shard_narrow() blobs, joined."""
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(width)]
+    counts = [np.zeros(0, np.int64)]
+    for blob in blobs:
+        (kinds,), at = unpacked(blob, 1)
+        (*codes, count), _ = unpacked(blob, width + 1, at)
+        for part, code in zip(parts, codes, strict=True):
+            part.append(kinds[code])
+        counts.append(count.astype(np.int64))
+    return [np.concatenate(p) for p in parts], np.concatenate(counts)
+
+
 @dataclass
 class Level:
     """What the driver keeps of an order: discounts, tokens, kinds seen once, twice and more often."""
@@ -115,10 +171,14 @@ class Reader:
 
     def __init__(self, model: NgramModel):
         self.model = model
-        read = model.folder.read
-        self.grams = {level.n: [(read(f"keys-{level.n}-{k}", np.uint64), read(f"counts-{level.n}-{k}", np.uint32)) for k in range(model.shards)] for level in model.levels}
-        self.contexts, self.dealt = ({level.n: [(read(f"{name}-{level.n}-{k}", np.uint64), read(f"{name}-stats-{level.n}-{k}", np.uint64)) for k in range(model.shards)] for level in model.levels if level.n > 1} for name in ("context", "dealt"))
-        self.raw = [(read(f"keys-0-{k}", np.uint64), read(f"counts-0-{k}", np.uint32)) for k in range(model.shards)]
+
+        def read(keys: str, values: str, n: int, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+            key = [model.folder.read(f"{keys}-{n}-{k}", np.uint64) for k in range(model.shards)]
+            return [(x, read_narrow(model.folder, f"{values}-{n}-{k}", len(x), width)) for k, x in enumerate(key)]
+
+        self.grams = {level.n: read("keys", "counts", level.n, 1) for level in model.levels}
+        self.contexts, self.dealt = ({level.n: read(name, f"{name}-stats", level.n, 4) for level in model.levels if level.n > 1} for name in ("context", "dealt"))
+        self.raw = read("keys", "counts", 0, 1)
 
     def find(self, tables, key: np.ndarray, by: np.ndarray, width: int) -> np.ndarray:
         """Values (0 where absent) of the distinct keys, each in the shard that ``by`` says."""
@@ -226,7 +286,7 @@ def train(df: DataFrame, order: int = 2, id_column: str = "doc_id", text_column:
         key, count = unpack((b for x in batches for b in x.column(1).to_pylist()), (np.uint64, np.uint32))
         key, _, count = summed(key, [], count.astype(np.int64))
         folder.write(f"keys-0-{shard}", key)
-        folder.write(f"counts-0-{shard}", np.minimum(count, 0xFFFFFFFF).astype(np.uint32))
+        folder.write(f"counts-0-{shard}", narrow(count))
         often = np.flatnonzero(count > count.sum() // (4 * n))
         yield _rows([(shard, len(key), int(count.sum()), None, None), *((shard, 0, 0, int(k), int(c)) for k, c in zip(key[often].view(np.int64), count[often], strict=True))])
 
@@ -250,8 +310,6 @@ def _rows(rows) -> pa.RecordBatch:
 
 def _count_level(folder: Folder, n: int, size: int, order: int, source: DataFrame, tokens, lead: np.ndarray):
     """Count grams of ``size`` words: of the texts for the highest order, else of the distinct grams above."""
-    types = (*[np.uint64] * size, np.uint32)
-
     def deal(columns: list[np.ndarray], key: np.ndarray) -> np.ndarray:
         if size == 1:
             return shard_of(key, n)
@@ -265,7 +323,7 @@ def _count_level(folder: Folder, n: int, size: int, order: int, source: DataFram
         def out():
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             key, columns, count = summed(key_of(columns), columns, np.ones(len(columns[0]), np.int64))
-            yield from by_shard(deal(columns, key), n, *columns, count.astype(np.uint32))
+            yield from by_shard_narrow(deal(columns, key), n, columns, count)
 
         for t, rows in tokens(batches):
             held.append(grams(t, rows, size))
@@ -279,10 +337,10 @@ def _count_level(folder: Folder, n: int, size: int, order: int, source: DataFram
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        *columns, count = unpack((b for x in batches for b in x.column("blob").to_pylist()), types)
-        key, columns, count = summed(key_of(columns), columns, count.astype(np.int64))
+        columns, count = unpack_narrow((b for x in batches for b in x.column("blob").to_pylist()), size)
+        key, columns, count = summed(key_of(columns), columns, count)
         folder.write(f"keys-{size}-{shard}", key)
-        folder.write(f"counts-{size}-{shard}", np.minimum(count, 0xFFFFFFFF).astype(np.uint32))
+        folder.write(f"counts-{size}-{shard}", narrow(count))
         seen = np.array([np.count_nonzero(count == k) for k in (1, 2, 3, 4)] + [np.count_nonzero(count >= 3), int(count.sum()), len(count)], np.int64)
         names, kinds_ = ("shard", "seen", "dealt", "blob"), (pa.int32(), pa.binary(), pa.binary(), pa.binary())
         out = [(shard, seen.tobytes(), None, None)]
@@ -291,25 +349,27 @@ def _count_level(folder: Folder, n: int, size: int, order: int, source: DataFram
             is_hot = lookup(lead, columns[-2])[1]
             key_, stats = _context_stats(context[~is_hot], count[~is_hot])
             folder.write(f"context-{size}-{shard}", key_)
-            folder.write(f"context-stats-{size}-{shard}", stats.astype(np.uint64))
+            folder.write(f"context-stats-{size}-{shard}", narrow(stats))
             key_, stats = _context_stats(context[is_hot], count[is_hot])
-            out += ((s, None, b, None) for s, b in by_shard(shard_of(key_, n), n, key_, *stats.T.astype(np.uint64)))
+            edge = np.searchsorted(shard_of(key_, n), np.arange(n + 1))
+            out += ((int(k), None, packed([key_[edge[k] : edge[k + 1]], *(narrow(x) for x in stats[edge[k] : edge[k + 1]].T)]), None) for k in np.flatnonzero(np.diff(edge)))
             lower = columns[1:]
             low_key, lower, kinds = summed(key_of(lower), lower, np.ones(len(key), np.int64))
             lower_deal = shard_of(low_key, n) if size == 2 else np.where(lookup(lead, lower[-2])[1], shard_of(low_key, n), shard_of(fold(lower[:-1]), n))
-            out += ((s, None, None, b) for s, b in by_shard(lower_deal, n, *lower, kinds.astype(np.uint32)))
+            out += ((s, None, None, b) for s, b in by_shard_narrow(lower_deal, n, lower, kinds))
         yield from blob_batches(out, names, kinds_)
 
     def write_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        key, *stats = unpack((b for x in batches for b in x.column("dealt").to_pylist()), [np.uint64] * 5)
+        parts = [unpacked(b, 5)[0] for x in batches for b in x.column("dealt").to_pylist()]
+        key, *stats = (np.concatenate(c).astype(np.uint64) for c in zip(*parts, strict=True)) if parts else [np.zeros(0, np.uint64)] * 5
         order_ = np.argsort(key)
         key = key[order_]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         folder.write(f"dealt-{size}-{shard}", key[first])
-        folder.write(f"dealt-stats-{size}-{shard}", np.stack([np.add.reduceat(x[order_], first) if len(first) else x for x in stats], 1))
+        folder.write(f"dealt-stats-{size}-{shard}", narrow(np.stack([np.add.reduceat(x[order_], first) if len(first) else x for x in stats], 1)))
         yield pa.RecordBatch.from_arrays([pa.array([len(first)], pa.int64())], names=["kinds"])
 
     grown = source.mapInArrow(count_texts, "shard int, blob binary") if size == order else source

@@ -20,7 +20,7 @@ RULES = [
     url_filter.Rule("allow", "com", "/fr/"),
     url_filter.Rule("block", "com", "/de/"),
 ]
-LM_ORDER = 2
+LM_ORDER = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

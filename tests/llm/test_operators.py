@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from gridforge.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, ngram_lm, quality, substring_dedup, url_filter
-from gridforge.llm.queries import RULES, vocabulary
+from gridforge.llm.queries import RULES, op2_ngram_lm, vocabulary
 
 SPACE = "[ \t\n\x0b\x0c\r]+"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -127,6 +127,29 @@ def test_language_model_probabilities_add_up(spark, rows):
     assert total + 10 ** p[1] == pytest.approx(1.0, abs=1e-6) and len(got) == len(texts) and base < 0
 
 
+def test_registered_language_model_is_of_order_three(spark, tmp_path, rows):
+    orders = []
+    with pytest.MonkeyPatch.context() as patch:
+        train = ngram_lm.train
+        patch.setattr(ngram_lm, "train", lambda df, order=2, **more: orders.append(order) or train(df, order, **more))
+        spark.createDataFrame(rows[:40], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+        assert op2_ngram_lm(spark, str(tmp_path)).count() == 40
+    assert orders[0] >= 3
+
+
+def test_narrow_grams_are_the_wide_ones():
+    rng = np.random.default_rng(5)
+    columns = [rng.integers(0, 1 << 64, 300, np.uint64)[rng.integers(0, 300, 5000)] for _ in range(3)]
+    count = rng.choice([1, 2, 300, 1 << 40], 5000)
+    shard = rng.integers(0, 4, 5000)
+    blobs = dict(ngram_lm.by_shard_narrow(shard, 6, columns, count))
+    assert sorted(blobs) == [0, 1, 2, 3]
+    for k, blob in blobs.items():
+        got, many = ngram_lm.unpack_narrow([blob], 3)
+        assert sorted(zip(*got, many, strict=True)) == sorted(zip(*(c[shard == k] for c in columns), count[shard == k], strict=True))
+    assert sum(len(b) for _, b in ngram_lm.by_shard_narrow(shard, 6, columns, count % 200)) < 5000 * 28 // 2
+
+
 def test_empty_tables(spark, none):
     assert ngram_lm.train(none).score_frame(none).count() == 0
     for df in (line_dedup.line_dedup(none), exact_dedup.exact_dedup(none), substring_dedup.substring_dedup(none), jaccard_join.jaccard_components(none), bpe.bpe_round_trip(none, vocabulary())):
