@@ -6,13 +6,17 @@ no least or largest size, and so a passage that is moved or has something put in
 the same way again after 16 bytes. Chunks are known by digest: each task sends its distinct digests
 with their smallest and largest document, packed, and each shard writes the digests of two or more
 documents, sorted, to the shared folder, from which workers map them. Runs of neighbouring repeated
-chunks with at least ``least_words`` words are repeated passages; no text is shuffled.
+chunks are candidates only, as each chunk may stand in another document. Inside them the shortest
+sequences of chunks of ``least_words`` words, from every first and to every last chunk, are digested
+and sent in the same way, with their smallest document; what sequences of two or more documents cover
+are repeated passages. No text is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -55,13 +59,42 @@ def chunks(data: np.ndarray, offsets: np.ndarray, mean: int = MEAN) -> tuple[np.
     return edge[:-1], edge[1:], np.searchsorted(edge[:-1], offsets)
 
 
+def sequences(seen: np.ndarray, rows: np.ndarray, before: np.ndarray, after: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the shortest sequences of seen chunks with so many words, from each first and to each last chunk.
+
+    ``before`` and ``after`` count words up to a chunk's start, a word that it cuts not among them, and
+    up to its end, so equal chunks have equal sequences. Every run of seen chunks with enough words is
+    covered, and neither starts nor ends ever decrease.
+    """
+    run_start, run_end = spans(seen, rows)
+    mine = np.flatnonzero(seen)
+    low, high = np.repeat(run_start, run_end - run_start), np.repeat(run_end, run_end - run_start)
+    last = np.maximum(np.searchsorted(after, before[mine] + least_words), mine)
+    first = np.minimum(np.searchsorted(before, after[mine] - least_words, "right") - 1, mine)
+    ahead, back = last < high, first >= low
+    code = np.unique(np.r_[mine[ahead] * len(seen) + last[ahead], first[back] * len(seen) + mine[back]])
+    return code // max(len(seen), 1), code % max(len(seen), 1) + 1
+
+
+def least_of(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of values[low:high] for each pair; NO_ID where there are none."""
+    out, size, width = np.full(len(low), NO_ID), high - low, 1
+    while np.any(size >= width):
+        at = np.flatnonzero((size >= width) & (size < 2 * width))
+        out[at] = np.minimum(values[low[at]], values[high[at] - width])
+        values = np.minimum(values[:-width], values[width:])
+        width *= 2
+    return out
+
+
 def substring_dedup(df: DataFrame, least_words: int = 20, mean: int = MEAN, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Documents that share a passage of at least ``least_words`` words in whole chunks with another one.
 
     doc_id, n_chunks, n_passages, repeated_bytes, removed_bytes, first_ids (the documents that hold
     the passages first), passages (byte start and end of each), kept (the text without the
-    passages' chunks that stand in a smaller doc_id) and kept_sha256. Documents without such a
-    passage give no row. Of each repeated chunk the smallest doc_id keeps its copies. Rows that
+    passages' chunks that stand there in a smaller doc_id) and kept_sha256. Documents without such a
+    passage give no row. A passage stands chunk by chunk in another document, or is made of such
+    passages that touch or overlap; the smallest doc_id that holds one keeps it. Rows that
     share a doc_id are one document, rows without one count as the largest. Null and empty texts
     have no chunks. Texts are cut whole, however long; an empty table gives an empty result; only the
     two named columns are read.
@@ -78,15 +111,44 @@ def substring_dedup(df: DataFrame, least_words: int = 20, mean: int = MEAN, id_c
                 starts, ends, rows = chunks(data, offsets, mean)
                 yield part, ids, data, offsets, starts, ends, rows, span_hashes(data, starts, ends)
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def owned(batches):
+        for _, ids, _, _, _, _, rows, key in parts(batches):
+            yield key, np.repeat(ids, np.diff(rows))
+
+    def candidates(batches):
+        """The parts with words up to each byte, and sequences of repeated chunks with their digests."""
+        tables = [folder.read(f"key-{k}", np.uint64) for k in range(n)]
+        for part, ids, data, offsets, starts, ends, rows, key in parts(batches):
+            seen = find(tables, key)[1]
+            solid = ~WHITE[data]
+            word = solid.copy()
+            word[1:] &= ~solid[:-1]
+            word[offsets[:-1][np.diff(offsets) > 0]] = solid[offsets[:-1][np.diff(offsets) > 0]]
+            count = np.concatenate(([0], np.cumsum(word)))
+            begin, end = sequences(seen, rows, count[starts] - (solid & ~word)[starts], count[ends], least_words)
+            yield part, ids, data, offsets, starts, ends, rows, count, begin, end, span_hashes(key, begin, end, 1)
+
+    def owned_sequences(batches):
+        for _, ids, *_, rows, _, begin, _, key in candidates(batches):
+            yield key, ids[np.searchsorted(rows, begin, "right") - 1]
+
+    def find(tables, key):
+        """(position in its shard's table, found) of each key; the tables are sorted."""
+        kinds, back = np.unique(key, return_inverse=True)
+        edge = np.searchsorted(shard_of(kinds, n), np.arange(n + 1))
+        at, found = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), bool)
+        for k in np.flatnonzero(np.diff(edge)):
+            at[edge[k] : edge[k + 1]], found[edge[k] : edge[k + 1]] = lookup(tables[k], kinds[edge[k] : edge[k + 1]])
+        return at[back], found[back]
+
+    def digests(source, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def merged():
             key, low, high = (np.concatenate(c) for c in zip(*held, strict=True))
             return reduce(key, low, high)
 
-        for _, ids, _, _, _, _, rows, key in parts(batches):
-            owner = np.repeat(ids, np.diff(rows))
+        for key, owner in source(batches):
             held.append(reduce(key, owner, owner))
             if sum(len(k) for k, _, _ in held) > CHUNK:
                 key, low, high = merged()
@@ -104,37 +166,35 @@ def substring_dedup(df: DataFrame, least_words: int = 20, mean: int = MEAN, id_c
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         return key[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
 
-    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def table(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
         key, low, high = reduce(*unpack((b for x in batches for b in x.column(1).to_pylist()), (np.uint64, np.int64, np.int64)))
-        folder.write(f"key-{shard}", key[low < high])
-        folder.write(f"first-{shard}", low[low < high])
+        folder.write(f"{name}-{shard}", key[low < high])
+        if name != "key":
+            folder.write(f"first-{shard}", low[low < high])
         yield pa.RecordBatch.from_arrays([pa.array([len(key)], pa.int64())], names=["kinds"])
 
-    exchange(docs.mapInArrow(digests, "shard int, blob binary"), n).mapInArrow(table, "kinds long").agg(F.sum("kinds")).first()
+    for name, source in (("key", owned), ("sequence", owned_sequences)):
+        exchange(docs.mapInArrow(partial(digests, source), "shard int, blob binary"), n).mapInArrow(partial(table, name), "kinds long").agg(F.sum("kinds")).first()
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [(folder.read(f"key-{k}", np.uint64), folder.read(f"first-{k}", np.int64)) for k in range(n)]
+        tables = [folder.read(f"sequence-{k}", np.uint64) for k in range(n)]
+        firsts = [folder.read(f"first-{k}", np.int64) for k in range(n)]
         names = ("doc_id", "n_chunks", "n_passages", "repeated_bytes", "removed_bytes", "first_ids", "passages", "kept", "kept_sha256")
         types = (pa.int64(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.string(), pa.string())
-        for part, ids, data, offsets, starts, ends, rows, key in parts(batches):
-            kinds, back = np.unique(key, return_inverse=True)
-            shard = shard_of(kinds, n)
-            edge = np.searchsorted(shard, np.arange(n + 1))
-            low, found = np.full(len(kinds), NO_ID), np.zeros(len(kinds), bool)
-            for k in np.flatnonzero(np.diff(edge)):
-                at, hit = lookup(tables[k][0], kinds[edge[k] : edge[k + 1]])
-                found[edge[k] : edge[k + 1]] = hit
-                low[edge[k] : edge[k + 1]][hit] = tables[k][1][at[hit]]
-            seen, first = found[back], low[back]
+        for part, ids, data, offsets, starts, ends, rows, count, begin, end, key in candidates(batches):
+            at, hit = find(tables, key)
+            begin, end, key, at = begin[hit], end[hit], key[hit], at[hit]
+            low, shard = np.zeros(len(key), np.int64), shard_of(key, n)
+            for k in np.unique(shard):
+                low[shard == k] = firsts[k][at[shard == k]]
+            # starts and ends are in order, so the sequences over a chunk are neighbours
+            chunk = np.arange(len(starts))
+            first = least_of(low, np.searchsorted(end, chunk, "right"), np.searchsorted(begin, chunk, "right"))
+            seen = np.searchsorted(end, chunk, "right") < np.searchsorted(begin, chunk, "right")
             run_start, run_end = spans(seen, rows)
-            solid = ~WHITE[data]
-            word = solid.copy()
-            word[1:] &= ~solid[:-1]
-            word[offsets[:-1][np.diff(offsets) > 0]] = solid[offsets[:-1][np.diff(offsets) > 0]]
-            count = np.concatenate(([0], np.cumsum(word)))
             long = count[ends[run_end - 1]] - count[starts[run_start]] >= least_words if len(run_start) else np.zeros(0, bool)
             run_start, run_end = run_start[long], run_end[long]
             owner = np.searchsorted(rows, run_start, "right") - 1

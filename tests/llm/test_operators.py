@@ -263,6 +263,50 @@ def test_substring_dedup(spark):
         assert r.kept_sha256 == hashlib.sha256(r.kept.encode()).hexdigest()
 
 
+def test_substring_dedup_leaves_stitched_phrases(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    phrases = [[word() for _ in range(4)] for _ in range(10)]
+    docs = [[w for _ in range(60) for w in rng.choice(phrases)] for _ in range(30)]
+    passage = [word() for _ in range(60)]
+    docs += [[word() for _ in range(30)] + passage, passage + [word() for _ in range(30)]]
+    held = collections.defaultdict(set)
+    for k, w in enumerate(docs):
+        for j in range(len(w) - 18):
+            held[tuple(w[j : j + 19])].add(k)
+    # a word may be cut on either side, so 19 whole ones are the least that 20 begun ones hold
+    shared = [{j + x for j in range(len(w) - 18) if len(held[tuple(w[j : j + 19])]) > 1 for x in range(19)} for w in docs]
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], SCHEMA).repartition(3)).collect()}
+    assert {30, 31} <= set(got) and any(not x for x in shared)
+    for k, r in got.items():
+        for a, b in r.passages:
+            # whole words of the passage are in a sequence that another document has
+            assert set(range(-(-a // 10), (b + 1) // 10)) <= shared[k]
+        assert (r.removed_bytes == 0) == (r.first_ids == [k])
+
+
+@pytest.mark.parametrize("least", [1, 4, 9])
+def test_sequences_cover_runs(least):
+    rng = np.random.default_rng(least)
+    seen = rng.random(300) < 0.9
+    rows = np.array([0, 0, 90, 200, 300])
+    after = np.cumsum(rng.integers(0, 4, 300))
+    before = np.r_[0, after[:-1]]
+    start, end = substring_dedup.sequences(seen, rows, before, after, least)
+    assert np.all(np.diff(start) >= 0) and np.all(np.diff(end) >= 0) and np.all(after[end - 1] - before[start] >= least)
+    covered = np.zeros(300, bool)
+    for a, b in zip(start, end, strict=True):
+        assert seen[a:b].all() and np.searchsorted(rows, a, "right") == np.searchsorted(rows, b - 1, "right")
+        covered[a:b] = True
+    want = np.zeros(300, bool)
+    for a, b in zip(*substring_dedup.spans(seen, rows), strict=True):
+        want[a:b] = after[b - 1] - before[a] >= least
+    assert (covered == want).all()
+    low = rng.integers(0, 250, 50)
+    high = low + rng.integers(0, 40, 50)
+    assert substring_dedup.least_of(after, low, high).tolist() == [min(after[a:b], default=substring_dedup.NO_ID) for a, b in zip(low, high, strict=True)]
+
+
 def test_gear_hash_and_chunks():
     data = np.random.default_rng(1).integers(0, 256, 5000).astype(np.uint8)
     h, plain = 0, []
