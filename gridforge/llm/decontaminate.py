@@ -30,7 +30,7 @@ from ._text import BASE, mix, slices, span_hashes, spans, utf8
 SEED, MOST_SEED, SHORT = 3, 8, 12
 LEAST_ITEM = 5
 #: Hits, and words along diagonals, that are worked off at a time.
-PIECE = 1 << 21
+PIECE = 1 << 18
 BLOCK = 32 << 20
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x41:0x5B] = WORD[0x61:0x7B] = WORD[0x80:] = True

@@ -64,5 +64,34 @@ def test_stages_take_awkward_rows(spark, tables):
         out.count()
 
 
+def left(spark, stage, rows):
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    return sorted(((r.doc_id, r.text) for r in stage(spark, docs, SF).collect()), key=str)
+
+
+def test_exact_dedup_stage_decides_by_row(spark):
+    rows = [(1, "a"), (5, "a"), (5, "b"), (5, "b"), (None, "a"), (None, "c"), (None, "c"), (7, "d"), (7, "e"), (None, "e")]
+    assert left(spark, P.exact_dedup_stage, rows) == sorted([(1, "a"), (5, "b"), (None, "c"), (7, "d"), (7, "e")], key=str)
+    hot = [(k % 40 or None, "hot  text") for k in range(400)] + rows
+    assert left(spark, P.exact_dedup_stage, hot) == sorted([(1, "hot  text"), (1, "a"), (5, "b"), (None, "c"), (7, "d"), (7, "e")], key=str)
+
+
+def test_near_dedup_stage_decides_by_row(spark):
+    near = lambda name, k: " ".join(f"{name}{j}" for j in range(60)) + f" end{k}"
+    rows = [(3, near("x", 0)), (3, "other text of id three"), (8, near("x", 1)), (8, "unique text of id eight"), (None, near("x", 2))]
+    rows += [(None, near("y", 0)), (None, near("y", 1)), (4, near("z", 0)), (4, near("z", 0)), (None, None), (None, "")]
+    got = left(spark, P.near_dedup_stage, rows)
+    one = [x for x in got if x[0] is None and x[1] and x[1].startswith("y0")]
+    assert len(one) == 1
+    assert sorted(set(got) - set(one), key=str) == sorted([(3, near("x", 0)), (3, "other text of id three"), (8, "unique text of id eight"), (4, near("z", 0)), (None, None), (None, "")], key=str)
+    assert len(got) == 7
+
+
+def test_decontaminate_stage_decides_by_row(spark, tables):
+    item = tables["benchmark"].orderBy("item_id").first().text
+    rows = [(7, f"before {item} after"), (7, "clean text of id seven"), (None, item), (None, "clean text without id"), (7, "clean text of id seven")]
+    assert left(spark, P.decontaminate_stage, rows) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
 def test_stage_names():
     assert collections.Counter(len(s) for s in P.STAGES) == {2: 5} and P.ORACLE_SQL is None
