@@ -36,8 +36,10 @@ def kalman_smoother(spark, sf):
 
 @query()
 def inducing_points(spark, sf):
-    centres = space_time.inducing_points(V.cells(spark, sf), "col", "row", k=16)
-    return spark.createDataFrame([tuple(map(float, r)) for r in space_time.inducing_grid(centres, [0, 1])], "x double, y double, time double")
+    c = V.cells(spark, sf)
+    centres = space_time.inducing_points(c, "col", "row")
+    epochs = sorted(r.epoch for r in c.select("epoch").distinct().collect())
+    return spark.createDataFrame([tuple(map(float, r)) for r in space_time.inducing_grid(centres, epochs)], "x double, y double, time double")
 
 
 @query()
@@ -46,8 +48,8 @@ def space_time_forecast(spark, sf):
     c = V.cells(spark, sf).select("epoch", "row", "col", ((F.col("epoch") - 1992) / 1.0).alias("t"), F.col("raw").alias("y"), (F.col("q") / F.col("obs") / 50.0).alias("load"))
     last = c.agg(F.max("epoch")).first()[0]
     train = c.filter(F.col("epoch") < last)
-    points = space_time.inducing_points(train, "col", "row", k=16)
-    model = space_time.fit(train, "t", "col", "row", ["load"], "y", points, lengthscales=(8.0, 8.0), rounds=6)
+    points = space_time.inducing_points(train, "col", "row")
+    model = space_time.fit(train, "t", "col", "row", ["load"], "y", points, lengthscales=(8.0, 8.0))
     return rounded(space_time.predict(c.filter(F.col("epoch") == last), model, "t", "col", "row", ["load"], ["epoch", "row", "col", "y"]), "mean", "variance", "p")
 
 

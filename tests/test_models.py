@@ -163,3 +163,12 @@ def test_space_time_fit(spark, rows):
         space_time.fit(broken, "t", "x", "z", ["a", "b"], "y", points)
     with pytest.raises(ValueError):
         model.at(0.5)
+
+
+def test_registered_inducing_points_are_the_whole_grid(spark):
+    from gridforge.plans import queries, views
+
+    sf = "/root/testdata/sf0.01"
+    epochs = {r.epoch for r in views.cells(spark, sf).select("epoch").distinct().collect()}
+    got = queries.QUERIES["inducing_points"](spark, sf).collect()
+    assert {r.time for r in got} == epochs and len(got) == 64 * len(epochs)
