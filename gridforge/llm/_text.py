@@ -1,20 +1,21 @@
 """Words and word hashes of whole Arrow string columns, without a Python loop over words.
 
-A column's UTF-8 bytes are treated as one array: a table marks white space, differences of
-that mask give the word spans, and differences of a prefix sum of ``byte * base**position``
-give a 64-bit polynomial hash of every word at once. Long columns are worked off in pieces
-that end where a word ends, so memory is bounded by the piece (or by one longer word).
+A column's UTF-8 bytes are treated as one array: a table marks white space and differences of that
+mask give the word spans. Hashes read eight bytes of every span at a time and mix them in, so spans
+of one length up to eight bytes never agree; spans of more than LONG bytes get a digest. No array is
+larger than a few numbers a word.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 21
+LONG = 256
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
@@ -24,19 +25,8 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_power = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def _tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64."""
-    global _power, _inverse
-    if len(_power) < size:
-        size = max(size, PIECE + 1)
-        inverse = _U(pow(int(BASE), -1, 1 << 64))
-        _power = np.cumprod(np.r_[_U(1), np.full(size - 1, BASE)], dtype=np.uint64)
-        _inverse = np.cumprod(np.r_[_U(1), np.full(size - 1, inverse)], dtype=np.uint64)
-    return _power, _inverse
+#: The lowest 0 to 8 bytes of a number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,23 +54,43 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return flat[at[0] : at[-1]], at - at[0]
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as overlapping items; past the end stand zeros."""
+    return np.ndarray((len(data) + 1,), "V8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each of the spans, which must be in order and disjoint."""
-    out = np.empty(len(starts), np.uint64)
-    k = 0
-    while k < len(starts):
-        low = starts[k]
-        stop = max(k + 1, int(np.searchsorted(ends, low + PIECE, "right")))
-        s, e = starts[k:stop] - low, ends[k:stop] - low
-        power, inverse = _tables(int(e[-1]) + 1)
-        part = data[low : ends[stop - 1]].astype(np.uint64)
-        part += _U(1 + seed)
-        part *= power[: len(part)]
-        total = np.empty(len(part) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(part, out=total[1:])
-        out[k:stop] = mix((total[e] - total[s]) * inverse[s] ^ ((e - s).astype(np.uint64) << _U(40)) ^ _U(seed * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF))
-        k = stop
+    """A 64-bit hash of data[start:end] for each of the spans, which may overlap."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + _U((seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    if not len(starts):
+        return out
+    eights, live, at = _eights(data), np.flatnonzero(size <= LONG), 0
+    while len(live):
+        part = eights[starts[live] + at].view("<u8") & _LOW[np.minimum(size[live] - at, 8)]
+        out[live] = mix(out[live] ^ part)
+        at += 8
+        live = live[size[live] > at]
+    for k in np.flatnonzero(size > LONG):
+        digest = hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, key=b"%d" % seed).digest()
+        out[k] = int.from_bytes(digest, "little")
+    return out
+
+
+def same_spans(data: np.ndarray, first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[first : first + size] and data[second : second + size] are the same bytes."""
+    out = np.ones(len(size), bool)
+    if not len(size):
+        return out
+    eights, live, at = _eights(data), np.flatnonzero((size <= LONG) & (first != second)), 0
+    while len(live):
+        low = _LOW[np.minimum(size[live] - at, 8)]
+        same = eights[first[live] + at].view("<u8") & low == eights[second[live] + at].view("<u8") & low
+        out[live[~same]] = False
+        at += 8
+        live = live[same & (size[live] > at)]
+    for k in np.flatnonzero((size > LONG) & (first != second)):
+        out[k] = np.array_equal(data[first[k] : first[k] + size[k]], data[second[k] : second[k] + size[k]])
     return out
 
 
@@ -154,7 +164,7 @@ def row_ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, owner
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str | int, most: int = 8 << 20):
     """The batch in parts of about ``most`` bytes of text (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     edge = np.cumsum(sizes)

@@ -7,7 +7,7 @@ right side of one token and the left side of the other tells whether any merge w
 them. The last tokens of all prefixes are back pointers; following them from the end gives the ids.
 
 All of it runs on arrays: texts are split by character classes, and the distinct pieces of a batch
-(told apart by a 64-bit hash) go through the prefixes together, one byte of each at a time. Tests of
+(found by hash, told apart by their bytes) go through the prefixes together, one byte of each at a time. Tests of
 token pairs are kept in a table of fixed size. Pieces of more than LONG bytes go one by one.
 """
 
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from ._frames import pick
-from ._text import slices, span_hashes, utf8
+from ._text import same_spans, slices, span_hashes, utf8
 
 KEPT = 1 << 20
 LONG = 64
@@ -370,6 +370,11 @@ class Bpe:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(data))
         _, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        size, other = ends - starts, first[back]
+        unlike = np.flatnonzero((size != size[other]) | ~same_spans(data, starts, starts[other], np.minimum(size, size[other])))
+        if len(unlike):  # pieces of one hash that differ from its first one stand for themselves
+            back[unlike] = len(first) + np.arange(len(unlike))
+            first = np.concatenate((first, unlike))
         flat, edge = self.pieces(data, starts[first], (ends - starts)[first])
         size = np.diff(edge)
         out, total = _gather(flat, edge[:-1], size, back)
