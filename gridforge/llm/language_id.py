@@ -162,6 +162,8 @@ class Crf:
 
     def predict(self, column) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, shares of the languages) of each text."""
+        if not self.languages:
+            return [UNKNOWN] * len(column), np.zeros(len(column)), np.zeros((len(column), 0))
         chain = Chain.of(column)
         p = self.posteriors(chain)
         n = np.diff(chain.rows)
@@ -171,7 +173,7 @@ class Crf:
         score = share[np.arange(len(best)), best]
         ascii_letters = np.concatenate(([0], np.cumsum(chain.data[chain.starts] < 0x80)))
         plain = ascii_letters[chain.rows[1:]] > ascii_letters[chain.rows[:-1]]
-        names = [self.languages[b] for b in best] if self.languages else []
+        names = [self.languages[b] for b in best]
         for k in np.flatnonzero(~plain):
             text = column[int(k)].as_py()
             if not n[k] or not any(map(str.isalpha, text or "")):
@@ -181,7 +183,7 @@ class Crf:
     def predict_frame(self, df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
         """doc_id, lang_pred, score (the language's share of the text's words), shares by language.
 
-        ``und`` with score 0 where the text is null or has no letter. Long texts are read whole;
+        ``und`` with score 0 where the text is null or has no letter, or where nothing was learnt. Long texts are read whole;
         repeated rows are judged each by itself, ties go to the language that sorts first, an empty
         table gives an empty result, and only the two named columns are read.
         """
