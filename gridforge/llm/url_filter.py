@@ -1,9 +1,11 @@
-"""URL filters: all glob rules at once by a bit-parallel automaton (Shift-And in 64-bit words).
-
-A rule (host, path) becomes the pattern ``[^/]* .host path .*`` over the canonical url
-``.host/path``. Every pattern's places are bits of a row of words; one step reads one byte of
-every url of a batch at the same time: ``D = ((D << 1 | first) & mask[byte]) | (D & loop[byte])``.
-Nothing is kept but D and the patterns that have matched, so memory is rules x urls of a batch.
+"""URL filters: all glob rules at once by a bit-parallel wildcard automaton (Shift-And in 64-bit words).
+
+A rule (host, path) is a glob: ``*`` stands for any run of characters and ``?`` for one, in the host
+never beyond it. It becomes the pattern ``*.host END path*`` over the canonical url ``.host END path``,
+where END is a byte that no text has. Every pattern's places are bits of a row of words; one step
+reads one byte of every url of a batch: ``D = ((D << 1 | first) & mask[byte]) | (D & loop[byte])``,
+where a place loops on the bytes that a star behind it takes. Nothing is kept but D and the patterns
+that have matched, so memory is rules x urls of a batch.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ._frames import pick
 from ._text import utf8
@@ -30,19 +34,38 @@ class Rule:
         return self.host + self.path
 
 
-def split_url(url: str | None) -> tuple[str, str]:
-    """Host (A-Z lower-cased) and path; both empty for null or without ``://``."""
-    if url is None or "://" not in url:
-        return "", ""
-    rest = url.split("://", 1)[1]
-    for mark in "?#":
-        rest = rest.split(mark, 1)[0]
-    at = rest.find("/")
-    host, path = (rest, "") if at < 0 else (rest[:at], rest[at:])
-    return host.translate(_LOW), path
+#: The byte between host and path; UTF-8 never has it.
+END = 0xFF
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_LOW = {c: c + 32 for c in range(0x41, 0x5B)}
+def split_url(url: Column) -> tuple[Column, Column]:
+    """Host (A-Z lower-cased) and path; both empty for null or without ``://``."""
+    after = F.when(F.instr(url, "://") > 0, url.substr(F.instr(url, "://") + 3, F.length(url))).otherwise(F.lit(""))
+    plain = F.regexp_extract(after, "^[^?#]*", 0)
+    host = F.substring_index(plain, "/", 1)
+    return F.translate(host, UPPER, LOWER), plain.substr(F.length(host) + 1, F.length(plain))
+
+
+def places(rule: Rule) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(bytes that lead to it, bytes that stay) of each place of a rule's pattern, the first one to start in."""
+    none, host = np.zeros(256, bool), np.ones(256, bool)
+    host[END] = False
+    more = np.zeros(256, bool)
+    more[0x80:0xC0] = True  # the bytes of a character after its first
+    out = [(none, host.copy())]
+    for text, every in ((f".{rule.host}", host), (None, None), (rule.path, host)):
+        if text is None:
+            out.append((np.arange(256) == END, none.copy()))
+            continue
+        for c in text:
+            if c == "*":
+                out[-1] = (out[-1][0], out[-1][1] | every)
+            elif c == "?":
+                out.append((every & ~more, more.copy()))
+            else:
+                out += [(np.arange(256) == b, none.copy()) for b in c.encode()]
+    return out
 
 
 class Automaton:
@@ -50,26 +73,22 @@ class Automaton:
 
     def __init__(self, rules: list[Rule]):
         self.rules = list(rules)
-        literals = [f".{r.host}{r.path}".encode() for r in rules]
-        places = sum(len(x) + 1 for x in literals)  # one loop place before each literal
-        self.words = max(1, -(-places // 64))
-        bits = np.zeros((256, self.words), np.uint64)
-        loop = np.zeros((256, self.words), np.uint64)
+        patterns = [places(r) for r in rules]
+        self.words = max(1, -(-sum(map(len, patterns)) // 64))
+        self.bits = np.zeros((256, self.words), np.uint64)
+        self.loop = np.zeros((256, self.words), np.uint64)
         self.first = np.zeros(self.words, np.uint64)
         self.final: list[tuple[int, np.uint64]] = []
         at = 0
-        for x in literals:
+        for pattern in patterns:
             word, bit = divmod(at, 64)
             self.first[word] |= np.uint64(1 << bit)
-            for c in range(256):
-                if c != 0x2F:
-                    loop[c, word] |= np.uint64(1 << bit)
-            for k, c in enumerate(x, 1):
+            for k, (lead, stay) in enumerate(pattern):
                 word, bit = divmod(at + k, 64)
-                bits[c, word] |= np.uint64(1 << bit)
+                self.bits[lead, word] |= np.uint64(1 << bit)
+                self.loop[stay, word] |= np.uint64(1 << bit)
             self.final.append((word, np.uint64(1 << bit)))
-            at += len(x) + 1
-        self.bits, self.loop = bits, loop
+            at += len(pattern)
 
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bool [texts, rules]: which patterns fit each text."""
@@ -99,21 +118,23 @@ def url_filter(df: DataFrame, rules: list[Rule], default: str = "allow", id_colu
     Null urls and urls without ``://`` have an empty host and path and no rule; they and all urls
     that no rule fits get ``default``. Of fitting rules the longest (host and path in characters)
     wins, of equally long ones the one that stands first. Repeated rows are judged each by itself,
-    an empty table gives an empty result, and columns but the two named are not read.
+    null page_ids stay, an empty table gives an empty result, and columns but the two named are not
+    read. Host and path are cut by Spark; only the automaton runs on Arrow batches.
     """
     patterns = Automaton(rules)
     rank = np.array([len(r.text) for r in rules], np.int64)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [split_url(u) for u in batch.column(1).to_pylist()]
-            hosts, paths = [h for h, _ in parts], [p for _, p in parts]
-            verdict, text = [default] * len(parts), [None] * len(parts)
-            if rules and parts:
-                fits = patterns.matches(*utf8(pa.array([f".{h}{p}" for h, p in parts], pa.large_string())))
+            verdict, text = [default] * batch.num_rows, [None] * batch.num_rows
+            if rules and batch.num_rows:
+                host, path = (batch.column(k).cast(pa.binary()) for k in (1, 2))
+                fits = patterns.matches(*utf8(pc.binary_join_element_wise(pa.scalar(b"."), host, pa.scalar(bytes([END])), path, pa.scalar(b""))))
                 best = np.where(fits, rank, -1).argmax(1)
                 for k in np.flatnonzero(fits.any(1)):
                     verdict[k], text[k] = rules[best[k]].verdict, rules[best[k]].text
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(text, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
-    return pick(df, id_column, url_column).mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string")
+    host, path = split_url(F.col("url"))
+    cut = pick(df, id_column, url_column).toDF("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
+    return cut.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string")
