@@ -92,7 +92,6 @@ class Quality:
 
         return pick(df, id_column, text_column).toDF("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
-
     def keep(self, df: DataFrame, text_column: str = "text") -> DataFrame:
         """The rows that score 0.5 or more, with all their columns and as they are. Nothing is joined:
         the rows pass through the scoring, so null and repeated ids need no rule."""
@@ -102,7 +101,7 @@ class Quality:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = Quality(sent.value)
             for batch in batches:
-                for part in slices(batch, batch.schema.names[at], 4 << 20):
+                for part in slices(batch, at, 4 << 20):
                     yield part.filter(pa.array(model.scores(part.column(at)) >= 0.5))
 
         return df.mapInArrow(run, df.schema)
@@ -143,10 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_column: str
             for part in slices(batch, "text", 4 << 20):
                 index, value, edge = features(part.column(2))
                 cut = lambda a: [a[edge[k] : edge[k + 1]].tobytes() for k in range(part.num_rows)]  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cut(index), pa.binary()), pa.array(cut(value.astype(np.float16)), pa.binary())], names=["doc_id", "y", "index", "value"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cut(index), pa.binary()), pa.array(cut(value), pa.binary())], names=["doc_id", "y", "index", "value"])
 
     rows = [(r.doc_id, r.y, bytes(r["index"]), bytes(r.value)) for r in texts.mapInArrow(run, "doc_id long, y int, index binary, value binary").toLocalIterator()]
     rows.sort(key=lambda r: ((r[0] * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF, r[2]))
     if not rows:
         return Quality(np.zeros(1 << BITS, np.float32))
-    return follow_the_leader([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float16).astype(np.float32), int(y > 0)) for _, y, i, v in rows])
+    return follow_the_leader([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), int(y > 0)) for _, y, i, v in rows])
