@@ -1,9 +1,9 @@
 """Input columns, the shared folder, and exchanges of packed arrays.
 
-``pick`` reads named columns of any frame. ``exchange`` moves packed arrays (one binary row
-for each task and shard, not one row for each item) to the shard's own partition. ``Folder``
-keeps arrays that are too large to broadcast in the shared folder of ``spark.checkpoint.dir``,
-from which workers map them into memory.
+``pick`` reads named columns of any frame. ``exchange`` moves packed arrays (one binary row for each
+task and bucket, not one row for each item) to the shard's own partition, in order of bucket, so that
+a shard is worked off bucket by bucket. ``Folder`` keeps arrays that are too large to broadcast in the
+shared folder of ``spark.checkpoint.dir``, from which workers map them into memory.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +32,31 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)])
 
 
-def shards_of(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input that a shard and a bucket of a shard are made for, and the largest number of shards.
+SHARD, BUCKET, MOST_SHARDS = 48 << 20, 64 << 20, 1 << 14
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The size of what the frame reads, by Spark's own estimate of its sources; 0 for one that has none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
+def shards_of(df: DataFrame) -> tuple[int, int]:
+    """(shards, buckets in each): as many shards as shuffle partitions, more for a large input, and buckets
+    where even the most shards would be too large to hold."""
+    size = input_bytes(df)
+    shards = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_SHARDS, -(-size // SHARD)))
+    return shards, max(1, -(-size // (shards * BUCKET)))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (one machine, tests) an own one."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridforge-"))
         place = spark.sparkContext.getCheckpointDir()
@@ -44,30 +64,38 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Folder:
-    """A new folder in the shared one. Files are written whole under another name and then renamed,
-    so a task that runs twice leaves the same file."""
+    """A new folder in the shared one, which goes when the application ends. Files are written whole under
+    another name and then renamed, so a task that runs twice leaves the same file."""
 
     def __init__(self, spark: SparkSession):
-        self.path = f"{shared_folder(spark).rstrip('/')}/gridforge-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/gridforge-{uuid.uuid4().hex}")
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.path = str(store.makeQualified(path).toString())  # one place for Spark and for workers
+        store.mkdirs(path)
+        store.deleteOnExit(path)
 
     def _place(self, name: str):
         from pyarrow import fs
 
         path = f"{self.path}/{name}"
-        if "://" not in path and not path.startswith("file:"):
-            return fs.LocalFileSystem(), path
         if path.startswith("file:"):
             return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
         return fs.FileSystem.from_uri(path)
 
-    def write(self, name: str, array: np.ndarray) -> None:
+    @contextmanager
+    def output(self, name: str):
+        """A stream to a file that is there once the block has ended well."""
         store, path = self._place(name)
         store.create_dir(os.path.dirname(path), recursive=True)
         part = f"{path}.{uuid.uuid4().hex}"
         with store.open_output_stream(part) as out:
-            out.write(memoryview(np.ascontiguousarray(array)).cast("B") if array.size else b"")
+            yield out
         store.move(part, path)
 
+    def write(self, name: str, array: np.ndarray) -> None:
+        with self.output(name) as out:
+            out.write(_raw(array))
+
     def read(self, name: str, dtype) -> np.ndarray:
         from pyarrow import fs
 
@@ -77,11 +105,44 @@ class Folder:
         with store.open_input_file(path) as file:
             return np.frombuffer(file.read_buffer(), dtype)
 
+    @contextmanager
+    def pack(self, name: str):
+        """A function that adds arrays of unsigned numbers to a file; a list of their places ends it."""
+        with self.output(name) as out:
+            places, at = [], 0
+
+            def add(*arrays: np.ndarray) -> None:
+                nonlocal at
+                for a in arrays:
+                    out.write(_raw(a))
+                    out.write(bytes(-a.nbytes % 8))
+                    places.append((at, a.itemsize, a.size))
+                    at += a.nbytes + -a.nbytes % 8
+
+            yield add
+            out.write(np.array([*(x for p in places for x in p), len(places)], np.int64).tobytes())
+
+    def unpack(self, name: str) -> list[np.ndarray]:
+        """The arrays of a pack, mapped."""
+        raw = self.read(name, np.uint8)
+        count = int(raw[-8:].view(np.int64)[0])
+        places = raw[len(raw) - 8 - 24 * count : -8].view(np.int64).reshape(-1, 3).tolist()
+        return [raw[at : at + width * size].view(f"u{width}") for at, width, size in places]
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """The frame, written as Parquet here and read again: cuts lineage and outlives executors."""
         df.write.parquet(f"{self.path}/{name}")
         return df.sparkSession.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def drop(self, spark: SparkSession, name: str) -> None:
+        """Remove what save() wrote, once nothing reads it any more."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _raw(array: np.ndarray):
+    return memoryview(np.ascontiguousarray(array)).cast("B") if array.size else b""
+
 
 def _mapped(path: str, dtype) -> np.ndarray:
     """The file, mapped; where Python can, without keeping it open, as there may be thousands."""
@@ -120,12 +181,31 @@ def shard_of(key: np.ndarray, n: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
-def exchange(df: DataFrame, n: int) -> DataFrame:
-    """Rows with ``shard`` in 0..n-1 to the partition of that number."""
-    return df.repartitionById(n, F.col("shard"))
+def exchange(df: DataFrame, n: int, fine: int = 1) -> DataFrame:
+    """Rows with ``bucket`` in 0..n * fine - 1 to the partition bucket // fine, in order of bucket.
+
+    Each partition gets a row without a blob besides, so that none is planned away where there are no rows.
+    """
+    every = df.sparkSession.range(0, n, 1, 1).select((F.col("id") * fine).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("blob"))
+    df = df.select("bucket", "blob").unionByName(every)
+    return df.repartitionById(n, F.expr(f"cast(bucket div {fine} as int)")).sortWithinPartitions("bucket")
+
+
+def buckets_of(batches, fine: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(bucket, its blobs) of each bucket of this shard in turn; only one bucket's blobs are held."""
+    from pyspark import TaskContext
+
+    bucket = TaskContext.get().partitionId() * fine
+    end = bucket + fine
+    rows = ((b, x) for batch in batches for b, x in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True))
+    for b, group in groupby(rows, itemgetter(0)):
+        yield from ((k, []) for k in range(bucket, b))
+        yield b, [x for _, x in group if x is not None]
+        bucket = b + 1
+    yield from ((k, []) for k in range(bucket, end))
 
 
-def blob_batches(pairs, names=("shard", "blob"), types=(pa.int32(), pa.binary()), most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def blob_batches(pairs, names=("bucket", "blob"), types=(pa.int32(), pa.binary()), most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Tuples as record batches of bounded size."""
     rows: list[tuple] = []
     size = 0

@@ -1,4 +1,4 @@
-"""Connected components of an edge list, by alternating large and small stars."""
+"""Joins whose hot keys are known, and connected components of an edge list by alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -8,18 +8,39 @@ from pyspark.sql import functions as F
 from ._frames import Folder
 
 
-def components(edges: DataFrame, folder: Folder, name: str) -> DataFrame:
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """big joined with small, which has one row for each key and in ``many`` how many rows of big have it.
+
+    Keys with more than ``most`` rows of big would each fill a task; there are fewer of them than big's
+    rows / most, and they are broadcast. The others are joined by a shuffle without these.
+    """
+    hot = F.broadcast(small.filter(F.col("many") > most).drop("many"))
+    cold = small.filter(F.col("many") <= most).drop("many")
+    rest = big.join(hot.select(*keys), keys, "left_anti").join(cold, keys)
+    return big.join(hot, keys).select(*rest.columns).unionByName(rest)
+
+
+def hot_limit(rows: int, shards: int) -> int:
+    """More rows of a key than this fill a quarter of a task's share; fewer than 4 x shards keys have so many."""
+    return max(64, rows // (4 * shards))
+
+
+def components(edges: DataFrame, folder: Folder, name: str, shards: int) -> DataFrame:
     """(node, root) of the nodes of the edges (a, b) that aren't roots; a root is its component's least node.
 
-    Every step groups by node with map-side minima and joins the minima back, so a hub's edges are
-    spread by the join and never gathered. Steps are written to the shared folder, which cuts
-    lineage; it ends when a step changes nothing.
+    Every step groups by node with map-side minima and joins the minima back; nodes with more than a
+    quarter of a task's share of edges get theirs by broadcast, the others by a shuffle, so no task
+    gathers a hub. Steps are written to the shared folder, which cuts lineage, and removed when the
+    next one is there; it ends when a step changes nothing.
     """
+    spark = edges.sparkSession
     now = folder.save(_down(edges.select(F.col("a").alias("v"), F.col("b").alias("m"))), f"{name}-0")
     state, step = _state(now), 0
     while state[0]:
+        most = hot_limit(2 * state[0], shards)
         step += 1
-        now = folder.save(_small(_large(now)), f"{name}-{step}")
+        now = folder.save(_small(_large(now, most), most), f"{name}-{step}")
+        folder.drop(spark, f"{name}-{step - 1}")
         after = _state(now)
         if after == state:
             break
@@ -36,15 +57,15 @@ def _down(edges: DataFrame) -> DataFrame:
     return edges.filter("v <> m").select(F.greatest("v", "m").alias("v"), F.least("v", "m").alias("m")).distinct()
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, most: int) -> DataFrame:
     """Larger neighbours of each node are tied to the least of its neighbourhood."""
     both = edges.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(edges.select(F.col("m").alias("u"), F.col("v").alias("w")))
-    least = both.groupBy("u").agg(F.min("w").alias("low")).select("u", F.least("u", "low").alias("low"))
-    return _down(both.filter("w > u").join(least, "u").select(F.col("w").alias("v"), F.col("low").alias("m")))
+    least = both.groupBy("u").agg(F.min("w").alias("low"), F.count("*").alias("many")).select("u", F.least("u", "low").alias("low"), "many")
+    return _down(join_counted(both.filter("w > u"), least, ["u"], most).select(F.col("w").alias("v"), F.col("low").alias("m")))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, most: int) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of them."""
-    least = edges.groupBy("v").agg(F.min("m").alias("low"))
-    tied = edges.join(least, "v").select(F.col("m").alias("v"), F.col("low").alias("m"))
+    least = edges.groupBy("v").agg(F.min("m").alias("low"), F.count("*").alias("many"))
+    tied = join_counted(edges, least, ["v"], most).select(F.col("m").alias("v"), F.col("low").alias("m"))
     return _down(tied.unionByName(least.select("v", F.col("low").alias("m"))))

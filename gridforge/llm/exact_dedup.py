@@ -30,9 +30,8 @@ def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     null only where all doc_ids of a group are. Texts may be of any length. An empty table gives an
     empty result. Only the two named columns are read.
     """
-    spark = df.sparkSession
-    n = shards_of(spark)
     docs = pick(df, id_column, text_column).toDF("doc_id", "text")
+    n, _ = shards_of(docs)
     rows = docs.count()
     normal = lambda frame: frame.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), RUN, " ").alias("norm"))
     hashed = lambda frame: normal(frame).withColumn("h", F.xxhash64("norm"))

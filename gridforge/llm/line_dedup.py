@@ -3,7 +3,8 @@
 1. Each task reduces its lines to distinct (document, key) pairs and sends its filter in sparse
    form, packed 32-bit values by filter slice (a slice has a fixed number of bits). The owner of a
    slice sets the once-seen bits, and, where all bits of a value were set before, the twice-seen
-   bits. Only the twice-seen slices are written to the shared folder, where workers map them.
+   bits. Only the twice-seen slices are written to the shared folder, where workers map them. A
+   shard has one slice or, of a very large input, several, which it works off one by one.
 2. Lines that the twice-seen filter knows are suspects. Only they are shuffled: grouped by the whole
    key, added up in each task first, so a key that a third of all documents hold is one row a task.
    Keys of two or more documents are confirmed with their smallest document id and written as
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import Folder, blob_batches, by_shard, exchange, pick, shard_of, shards_of, unpack
+from ._frames import Folder, blob_batches, buckets_of, by_shard, exchange, pick, shard_of, shards_of, unpack
 from ._text import LOWER, WHITE, mix, slices, span_hashes, utf8
 
 BITS_A_KEY = 16
@@ -46,14 +47,17 @@ class Lines:
         ends -= 1
         ends[last] += 1  # a row's last line has no newline
         self.ends = ends
-        solid = ~WHITE[data]
-        after = np.append(np.flatnonzero(solid), size)  # next solid byte at or after a place
-        before = np.concatenate(([-1], np.flatnonzero(solid)))
-        count = np.concatenate(([0], np.cumsum(solid)))
-        self.key_starts = np.minimum(after[count[self.starts]], ends)
-        self.key_ends = np.maximum(before[count[ends]] + 1, self.key_starts)
-        points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        self.points = points[self.key_ends] - points[self.key_starts]
+        solid = np.flatnonzero(~WHITE[data])
+        at = np.searchsorted(solid, self.starts)  # the first solid byte at or after a line's start
+        until = np.searchsorted(solid, ends)
+        full = until > at
+        self.key_starts, self.key_ends = ends.copy(), ends.copy()
+        self.key_starts[full], self.key_ends[full] = solid[at[full]], solid[until[full] - 1] + 1
+        self.points = np.zeros(len(ends), np.int64)
+        if full.any():
+            edges = np.stack([self.key_starts[full], self.key_ends[full]], 1).ravel()
+            lead = np.append((data & 0xC0) != 0x80, False)  # so that a key may end where the data does
+            self.points[full] = np.add.reduceat(lead, edges, dtype=np.int64)[::2]
         self.data = LOWER[data]
         self.keyed = np.flatnonzero(self.points >= least)
         self.row = np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
@@ -68,8 +72,8 @@ class Lines:
 class Filter:
     """The twice-seen filter: slices of bits, chosen by the hash's high half, probed by its low half."""
 
-    def __init__(self, slice_bits: list[int], parts: list[np.ndarray]):
-        self.slice_bits, self.parts = slice_bits, parts
+    def __init__(self, parts: list[np.ndarray]):
+        self.parts = parts
 
     @staticmethod
     def places(value: np.ndarray, slice_bits: int) -> np.ndarray:
@@ -90,7 +94,7 @@ class Filter:
         for k in np.flatnonzero(np.diff(edge)):
             mine = order[edge[k] : edge[k + 1]]
             if len(self.parts[k]):
-                out[mine] = self.has(self.parts[k], self.places(hashes[mine].astype(np.uint32), self.slice_bits[k]))
+                out[mine] = self.has(self.parts[k], self.places(hashes[mine].astype(np.uint32), 8 * len(self.parts[k])))
         return out
 
 
@@ -104,12 +108,12 @@ def line_dedup(df: DataFrame, least: int = 10, id_column: str = "doc_id", text_c
     A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased. Keys of
     at least ``least`` code points in two or more documents stay only in the smallest doc_id that
     holds them (there as often as they stand). A null or empty text is one empty line and stays as
-    it is. Rows that share a doc_id are one document, rows without one count as the largest. Lines may be of any length; an empty table
-    gives an empty result. Only the two named columns are read.
+    it is. Rows that share a doc_id are one document, rows without one count as the largest. Lines may
+    be of any length; an empty table gives an empty result. Only the two named columns are read.
     """
-    spark = df.sparkSession
-    n, folder = shards_of(spark), Folder(spark)
     docs = pick(df, id_column, text_column).toDF("doc_id", "text")
+    (n, fine), folder = shards_of(docs), Folder(df.sparkSession)
+    buckets = n * fine
 
     def parts(batches):
         for batch in batches:
@@ -129,10 +133,10 @@ def line_dedup(df: DataFrame, least: int = 10, id_column: str = "doc_id", text_c
 
         def out():
             h, count = np.unique(np.concatenate(held), return_counts=True)
-            shard = shard_of(h, n)
-            low, back = np.unique(shard.astype(np.uint64) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF)), return_inverse=True)
+            bucket = shard_of(h, buckets)
+            low, back = np.unique(bucket.astype(np.uint64) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF)), return_inverse=True)
             seen = np.minimum(np.bincount(back, count, len(low)), 2).astype(np.uint8)  # values that agree count together
-            yield from by_shard((low >> np.uint64(32)).astype(np.int32), n, low.astype(np.uint32), seen)
+            yield from by_shard((low >> np.uint64(32)).astype(np.int32), buckets, low.astype(np.uint32), seen)
 
         for ids, _, lines in parts(batches):
             held.append(distinct(ids, lines))
@@ -145,25 +149,30 @@ def line_dedup(df: DataFrame, least: int = 10, id_column: str = "doc_id", text_c
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
-        blobs = [b for x in batches for b in x.column(1).to_pylist()]
-        bits = 1 << max(10, int(BITS_A_KEY * sum(len(b) for b in blobs) / 5).bit_length())
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for blob in blobs:
-            value, count = unpack([blob], (np.uint32, np.uint8))
-            places = Filter.places(value, bits)
-            again = Filter.has(once, places) | (count > 1)
-            set_bits(twice, places[again])
-            set_bits(once, places)
-        folder.write(f"twice-{shard}", twice if blobs else twice[:0])
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([bits], pa.int64())], names=["shard", "bits"])
-
-    bits = {r.shard: r.bits for r in exchange(docs.mapInArrow(sparse, "shard int, blob binary"), n).mapInArrow(build, "shard int, bits long").collect()}
+        shard, slices_ = TaskContext.get().partitionId(), 0
+        with folder.pack(f"twice-{shard}") as add:
+            for _, blobs in buckets_of(batches, fine):
+                bits = 1 << max(10, int(BITS_A_KEY * sum(len(b) for b in blobs) / 5).bit_length())
+                once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+                for blob in blobs:
+                    value, count = unpack([blob], (np.uint32, np.uint8))
+                    places = Filter.places(value, bits)
+                    again = Filter.has(once, places) | (count > 1)
+                    set_bits(twice, places[again])
+                    set_bits(once, places)
+                add(twice if blobs else twice[:0])
+                slices_ += 1
+        yield pa.RecordBatch.from_arrays([pa.array([slices_], pa.int32())], names=["slices"])
+
+    exchange(docs.mapInArrow(sparse, "bucket int, blob binary"), n, fine).mapInArrow(build, "slices int").agg(F.sum("slices")).first()
+
+    def known() -> Filter:
+        return Filter([x for k in range(n) for x in folder.unpack(f"twice-{k}")])
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Filter([bits[k] for k in range(n)], [folder.read(f"twice-{k}", np.uint8) for k in range(n)])
+        seen = known()
         for ids, _, lines in parts(batches):
-            rows = lines.keyed[known.knows(lines.hashes())]
+            rows = lines.keyed[seen.knows(lines.hashes())]
             pairs = {(int(ids[lines.row[k]]), lines.key(k)) for k in rows}
             yield from blob_batches(pairs, ("doc_id", "line"), (pa.int64(), pa.binary()))
 
@@ -173,29 +182,31 @@ def line_dedup(df: DataFrame, least: int = 10, id_column: str = "doc_id", text_c
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, check = _digests(batch.column(0).to_pylist())
-            yield from blob_batches(by_shard(shard_of(key, n), n, key, check, batch.column(1).to_numpy()))
+            yield from blob_batches(by_shard(shard_of(key, buckets), buckets, key, check, batch.column(1).to_numpy()))
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
-        key, check, first = unpack((b for x in batches for b in x.column(1).to_pylist()), (np.uint64, np.uint64, np.int64))
-        order = np.lexsort((check, key))
-        for name, column in (("key", key), ("check", check), ("first", first)):
-            folder.write(f"{name}-{shard}", column[order])
-        yield pa.RecordBatch.from_arrays([pa.array([len(key)], pa.int64())], names=["lines"])
+        shard, lines = TaskContext.get().partitionId(), 0
+        with folder.pack(f"lines-{shard}") as add:
+            for _, blobs in buckets_of(batches, fine):
+                key, check, first = unpack(blobs, (np.uint64, np.uint64, np.int64))
+                order = np.lexsort((check, key))
+                add(key[order], check[order], first[order])
+                lines += len(key)
+        yield pa.RecordBatch.from_arrays([pa.array([lines], pa.int64())], names=["lines"])
 
-    exchange(confirmed.mapInArrow(digests, "shard int, blob binary"), n).mapInArrow(table, "lines long").agg(F.sum("lines")).first()
+    exchange(confirmed.mapInArrow(digests, "bucket int, blob binary"), n, fine).mapInArrow(table, "lines long").agg(F.sum("lines")).first()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Filter([bits[k] for k in range(n)], [folder.read(f"twice-{k}", np.uint8) for k in range(n)])
-        tables = [tuple(folder.read(f"{name}-{k}", d) for name, d in (("key", np.uint64), ("check", np.uint64), ("first", np.int64))) for k in range(n)]
+        seen = known()
+        tables = [x for k in range(n) for x in zip(*[iter(folder.unpack(f"lines-{k}"))] * 3, strict=True)]
         for ids, part, lines in parts(batches):
-            rows = lines.keyed[known.knows(lines.hashes())]
+            rows = lines.keyed[seen.knows(lines.hashes())]
             drop = np.zeros(len(lines.starts), bool)
             if len(rows):
                 key, check = _digests([lines.key(k) for k in rows])
-                first = _firsts(tables, key, check, n)
+                first = _firsts(tables, key, check, buckets)
                 drop[rows] = (first != np.iinfo(np.int64).min) & (first != ids[lines.row[rows]])
             dropped = np.add.reduceat(drop.astype(np.int64), lines.rows[:-1])
             texts = []
@@ -226,7 +237,7 @@ def _firsts(tables, key: np.ndarray, check: np.ndarray, n: int) -> np.ndarray:
             inside = at < len(keys)
             same = inside & (keys[np.minimum(at, len(keys) - 1)] == key[mine])
             hit = same & (checks[np.minimum(at, len(keys) - 1)] == check[mine])
-            out[mine[hit]] = firsts[at[hit]]
+            out[mine[hit]] = firsts[at[hit]].view(np.int64)
             mine, at = mine[same & ~hit], at[same & ~hit] + 1
             if not len(mine):
                 break

@@ -1,22 +1,28 @@
 """Interpolated modified Kneser-Ney language model, counted in Spark and mapped by workers.
 
-Counting. Each task sorts the n-grams of its rows, adds up equal ones and sends packed arrays,
-one for each shard, so a frequent n-gram travels once for each task. A shard is chosen by the
-n-gram's context, so that what a context needs lies in one place; contexts with more than a
-quarter of a shard's share of all tokens (at most 4 x shards of them) are dealt out by the whole
-n-gram instead, and their parts are added up. Each shard writes its sorted hashes and counts to
-the shared folder; the next lower order gets the distinct words in front of each n-gram
-(continuation counts) in the same way.
-
-Grams travel as codes into the blob's own list of words, as narrow as the list allows, and all counts
-are as narrow as their largest.
-
-Scoring. Workers map the files into memory and look up a batch's sorted hashes; no table of the
-model's size is broadcast or held by the driver.
+Words. A first pass counts the words by hash and numbers them, frequent ones first, in each shard by
+itself; from then on grams are arrays of word numbers.
+
+Counting. Each task sorts the n-grams of its rows, adds up equal ones and sends packed arrays, one for
+each bucket, so a frequent n-gram travels once for each task; numbers in order are sent as differences,
+by byte planes and compressed. A bucket is chosen by the n-gram's context, so that what a context needs
+lies in one place; contexts whose last word has more than a quarter of a shard's share of all tokens (at
+most 4 x shards words) are dealt out by the whole n-gram instead, and their parts are added up. A shard
+works off one bucket after the other. Each bucket's grams become a sorted hash array in the shared
+folder; the next lower order gets the distinct words in front of each n-gram (continuation counts) in
+the same way, after which what was written for that is removed.
+
+Storage. Of a hash the array's index has the first bits and the array the next 32, so a lookup takes an
+absent key for another one about once in 2**28 times. A count takes one byte, larger ones stand in a
+list of their own; counts have 64 bits everywhere else.
+
+Scoring. Workers map the files into memory and look up a batch's hashes; no table of the model's size is
+broadcast or held by the driver.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import Folder, blob_batches, by_shard, exchange, lookup, pick, shard_of, shards_of, unpack
-from ._text import BASE, mix, slices, words
+from ._frames import Folder, blob_batches, buckets_of, by_shard, exchange, lookup, pick, shard_of, shards_of, unpack
+from ._text import mix, slices, words
 
-END, BEGIN = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+END = np.uint64(0x243F6A8885A308D3)
 CHUNK = 1 << 20
+#: Numbers of the place before a text and of words that training lacks.
+BEGIN, UNKNOWN = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
+#: A stored count that stands in the list of large ones; keys a cell of a table's index.
+LARGE, CELL = 255, 16
 
 
 def with_ends(column) -> tuple[np.ndarray, np.ndarray]:
@@ -42,37 +52,42 @@ def with_ends(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(tokens: np.ndarray, rows: np.ndarray, n: int) -> list[np.ndarray]:
-    """n columns: the token hashes of the n-gram that ends at each token; BEGIN stands before a row."""
+    """n columns: the numbers of the n-gram that ends at each token; BEGIN stands before a row."""
     place = np.arange(len(tokens)) - np.repeat(rows[:-1], np.diff(rows))
     columns = []
     for back in range(n - 1, 0, -1):
-        c = np.full(len(tokens), BEGIN, np.uint64)
-        c[back:] = np.where(place[back:] >= back, tokens[: len(tokens) - back], BEGIN)
+        c = np.full(len(tokens), BEGIN, tokens.dtype)
+        c[back:] = np.where(place[back:] >= back, tokens[: len(tokens) - back], c[back:])
         columns.append(c)
     return [*columns, tokens]
 
 
 def fold(columns: list[np.ndarray]) -> np.ndarray:
-    """One key of a gram's columns; zero columns give one fixed key."""
-    total = np.zeros(len(columns[0]), np.uint64)
+    """One key of a gram's columns; for one gram and its beginning they have nothing to do with each other."""
+    total = np.full(len(columns[0]), len(columns), np.uint64)
     for c in columns:
-        total = total * BASE + c
-    return mix(total)
-
-
-def key_of(columns: list[np.ndarray]) -> np.ndarray:
-    """A single word is its own key, so that the files of the tokens and of the lowest order agree."""
-    return columns[0] if len(columns) == 1 else fold(columns)
-
-
-def summed(key: np.ndarray, columns: list[np.ndarray], count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Equal keys added up, in order of key."""
-    if not len(key):
-        return key, columns, count
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    return key[first], [c[order][first] for c in columns], np.add.reduceat(count[order], first)
+        total = mix(total ^ c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return total
+
+
+def summed(columns: list[np.ndarray], counts: list[np.ndarray], top: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Equal grams of numbers up to ``top`` with their counts added up, in order."""
+    if not len(columns[0]):
+        return columns, counts
+    bits = max(1, int(top).bit_length())
+    if bits * len(columns) <= 64:
+        code = columns[0].astype(np.uint64)
+        for c in columns[1:]:
+            code = code << np.uint64(bits) | c.astype(np.uint64)
+        order = np.argsort(code)
+        new = np.diff(code[order], prepend=~code[order[:1]]) != 0
+    else:
+        order = np.lexsort(columns[::-1])
+        new = np.zeros(len(order), bool)
+        for c in columns:
+            new |= np.diff(c[order], prepend=~c[order[:1]]) != 0
+    first = np.flatnonzero(new)
+    return [c[order[first]] for c in columns], [np.add.reduceat(x[order], first) for x in counts]
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -80,52 +95,102 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if x.size else 0))
 
 
-def read_narrow(folder: Folder, name: str, rows: int, width: int = 1) -> np.ndarray:
-    """What narrow() made of rows x width counts; the file's size tells the type."""
-    raw = folder.read(name, np.uint8)
-    return raw.view(f"u{len(raw) // (rows * width)}") if rows else raw
-
+def packed(columns: list[np.ndarray], ordered: bool = True) -> bytes:
+    """Columns of one length, compressed by byte planes; the first one, if in order, as differences."""
+    if ordered:
+        columns = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
+    columns = [narrow(c) for c in columns]
+    planes = b"".join(c.view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns)
+    head = np.array([len(columns[0]), ordered, *(c.itemsize for c in columns)], np.int64)
+    return head.tobytes() + pa.Codec("zstd", compression_level=3).compress(planes, asbytes=True)
 
-def packed(columns: list[np.ndarray]) -> bytes:
-    """Columns of one length, each in its own type."""
-    head = np.array([len(columns[0]), *(c.itemsize for c in columns)], np.int64)
-    return b"".join([head.tobytes(), *(np.ascontiguousarray(c).tobytes() for c in columns)])
 
-
-def unpacked(blob: bytes, width: int, at: int = 0) -> tuple[list[np.ndarray], int]:
-    """The columns that packed() put at a place of the blob, and where they end."""
-    size, *kinds = np.frombuffer(blob, np.int64, width + 1, at).tolist()
-    at += 8 * (width + 1)
-    columns = []
+def unpacked(blob: bytes, width: int) -> list[np.ndarray]:
+    """The columns of packed(), with 64 bits each."""
+    size, ordered, *kinds = np.frombuffer(blob, np.int64, width + 2).tolist()
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[8 * (width + 2) :], size * sum(kinds)), np.uint8)
+    columns, at = [], 0
     for kind in kinds:
-        columns.append(np.frombuffer(blob, f"u{kind}", size, at))
-        at += size * kind
-    return columns, at
-
-
-def by_shard_narrow(shard: np.ndarray, n: int, columns: list[np.ndarray], count: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(shard, its distinct words, and its grams as codes into them with counts) of each shard that has grams."""
-    order = np.argsort(shard, kind="stable")
-    edge = np.searchsorted(shard[order], np.arange(n + 1))
+        plane = raw[at : at + kind * size].reshape(kind, size).T
+        columns.append(np.ascontiguousarray(plane).view(f"u{kind}").ravel().astype(np.uint64))
+        at += kind * size
+    if ordered:
+        columns[0] = np.cumsum(columns[0], dtype=np.uint64)
+    return columns
+
+
+def by_bucket(bucket: np.ndarray, n: int, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """(bucket, its rows of the columns) of each bucket that has some; the rows are in order of the first column."""
+    order = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[order], np.arange(n + 1))
     for k in np.flatnonzero(np.diff(edge)):
         mine = order[edge[k] : edge[k + 1]]
-        kinds, code = np.unique(np.concatenate([c[mine] for c in columns]), return_inverse=True)
-        code = narrow(code).reshape(len(columns), -1)
-        side = np.argsort(code[0], kind="stable")  # a column in order takes little room once compressed
-        yield int(k), packed([kinds]) + packed([*(c[side] for c in code), narrow(count[mine][side])])
+        yield int(k), packed([c[mine] for c in columns])
+
+
+def joined(blobs, width: int) -> list[np.ndarray]:
+    """The columns of packed() blobs, one after another."""
+    parts = [unpacked(b, width) for b in blobs]
+    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64)] * width
 
 
-def unpack_narrow(blobs, width: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(columns of words, counts) of by_shard_narrow() blobs, joined."""
-    parts: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(width)]
-    counts = [np.zeros(0, np.int64)]
-    for blob in blobs:
-        (kinds,), at = unpacked(blob, 1)
-        (*codes, count), _ = unpacked(blob, width + 1, at)
-        for part, code in zip(parts, codes, strict=True):
-            part.append(kinds[code])
-        counts.append(count.astype(np.int64))
-    return [np.concatenate(p) for p in parts], np.concatenate(counts)
+def table(key: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+    """Arrays of a sorted hash table: index, next 32 bits of each key, and for each value bytes, places and values of large ones."""
+    key = mix(key ^ UNKNOWN)  # keys of a bucket are alike in their first bits
+    order = np.argsort(key)
+    key = key[order]
+    bits = max(1, (len(key) // CELL).bit_length())
+    cells = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    out = [cells.astype(np.uint32), (key >> np.uint64(32 - bits)).astype(np.uint32)]
+    for v in values:
+        v = v[order]
+        large = np.flatnonzero(v >= LARGE)
+        out += [np.minimum(v, LARGE).astype(np.uint8), large.astype(np.uint32), v[large].astype(np.uint64)]
+    return out
+
+
+def find(arrays: list[np.ndarray], key: np.ndarray) -> list[np.ndarray]:
+    """Values of the keys in a table(), 0 where absent."""
+    cells, low, *values = arrays
+    key = mix(key ^ UNKNOWN)
+    bits = int(len(cells) - 1).bit_length() - 1
+    cell = key >> np.uint64(64 - bits)
+    want = (key >> np.uint64(32 - bits)).astype(np.uint32)
+    at, end = cells[cell].astype(np.int64), cells[cell + np.uint64(1)].astype(np.int64)
+    stop = end.copy()
+    while len(low) and np.any(at < end):  # the first place that isn't smaller, of all keys at once
+        middle = (at + end) >> 1
+        less = (at < end) & (low[np.minimum(middle, len(low) - 1)] < want)
+        at, end = np.where(less, middle + 1, at), np.where(less, end, middle)
+    hit = np.flatnonzero(at < stop)
+    hit = hit[low[at[hit]] == want[hit]]
+    out = []
+    for small, place, large in zip(*[iter(values)] * 3, strict=True):
+        v = np.zeros(len(key), np.int64)
+        v[hit] = small[at[hit]]
+        more = hit[v[hit] == LARGE]
+        v[more] = large[np.searchsorted(place, at[more])]
+        out.append(v)
+    return out
+
+
+class Vocabulary:
+    """A worker's view of the words: hashes in order, number and count of each."""
+
+    def __init__(self, folder: Folder, shards: int):
+        self.shards = [folder.unpack(f"words-{k}") for k in range(shards)]
+
+    def find(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, count) of the distinct words, which are in order; UNKNOWN and 0 where absent."""
+        number, count = np.full(len(kinds), UNKNOWN), np.zeros(len(kinds), np.int64)
+        edge = np.searchsorted(shard_of(kinds, len(self.shards)), np.arange(len(self.shards) + 1))
+        for k in np.flatnonzero(np.diff(edge)):
+            key, place, many = self.shards[k]
+            at, found = lookup(key, kinds[edge[k] : edge[k + 1]])
+            mine = edge[k] + np.flatnonzero(found)
+            number[mine] = place[at[found]].astype(np.uint64) * np.uint64(len(self.shards)) + np.uint64(k + 1)
+            count[mine] = many[at[found]]
+        return number, count
 
 
 @dataclass
@@ -142,6 +207,7 @@ class Level:
 class NgramModel:
     order: int
     shards: int
+    fine: int
     folder: Folder
     levels: list[Level]
     frequent: np.ndarray
@@ -167,60 +233,57 @@ class NgramModel:
 
 
 class Reader:
-    """A worker's view of the model: mapped arrays of every shard, in order of key."""
+    """A worker's view of the model: mapped tables of every bucket."""
 
     def __init__(self, model: NgramModel):
         self.model = model
+        self.words = Vocabulary(model.folder, model.shards)
+        read = lambda name, values: [x for k in range(model.shards) for x in self._tables(model.folder.unpack(f"{name}-{k}"), values)]
+        self.grams = {level.n: read(f"grams-{level.n}", 1) for level in model.levels}
+        self.contexts = {level.n: read(f"contexts-{level.n}", 4) for level in model.levels if level.n > 1}
+        self.dealt = {level.n: read(f"dealt-{level.n}", 4) for level in model.levels if level.n > 1}
 
-        def read(keys: str, values: str, n: int, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
-            key = [model.folder.read(f"{keys}-{n}-{k}", np.uint64) for k in range(model.shards)]
-            return [(x, read_narrow(model.folder, f"{values}-{n}-{k}", len(x), width)) for k, x in enumerate(key)]
-
-        self.grams = {level.n: read("keys", "counts", level.n, 1) for level in model.levels}
-        self.contexts, self.dealt = ({level.n: read(name, f"{name}-stats", level.n, 4) for level in model.levels if level.n > 1} for name in ("context", "dealt"))
-        self.raw = read("keys", "counts", 0, 1)
+    def _tables(self, arrays: list[np.ndarray], values: int) -> list[list[np.ndarray]]:
+        width = 2 + 3 * values
+        return [arrays[k : k + width] for k in range(0, len(arrays), width)]
 
     def find(self, tables, key: np.ndarray, by: np.ndarray, width: int) -> np.ndarray:
-        """Values (0 where absent) of the distinct keys, each in the shard that ``by`` says."""
-        order = np.lexsort((key, by))
-        out = np.zeros((len(key), width), np.uint64)
-        edge = np.searchsorted(by[order], np.arange(self.model.shards + 1))
+        """[keys, width] values (0 where absent), each in the table that ``by`` chooses."""
+        bucket = shard_of(by, len(tables))
+        order = np.argsort(bucket, kind="stable")
+        out = np.zeros((len(key), width), np.int64)
+        edge = np.searchsorted(bucket[order], np.arange(len(tables) + 1))
         for k in np.flatnonzero(np.diff(edge)):
             mine = order[edge[k] : edge[k + 1]]
-            keys, values = tables[k]
-            at, found = lookup(keys, key[mine])
-            if len(keys):
-                out[mine] = np.where(found[:, None], values.reshape(-1, width)[at], 0)
+            for j, v in enumerate(find(tables[k], key[mine])):
+                out[mine, j] = v
         return out
 
     def logs(self, tokens: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: log10 of the base and of the model, and whether training has it."""
         model = self.model
         kinds, back = np.unique(tokens, return_inverse=True)
-        c = self.find(self.raw, kinds, shard_of(kinds, model.shards), 1)[:, 0].astype(np.float64)
+        number, c = self.words.find(kinds)
         base = np.log10((c + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1)))[back]
         known = (c > 0)[back]
         p = np.full(len(tokens), 1.0 / (model.vocabulary + 1))
         for level in reversed(model.levels):
-            columns = grams(tokens, rows, level.n)
             d = np.array([0.0, *level.discounts])
             if level.n == 1:
-                count = self.find(self.grams[1], kinds, shard_of(kinds, model.shards), 1)[:, 0].astype(np.int64)[back]
+                key = fold([number])
+                count = self.find(self.grams[1], key, key, 1)[:, 0][back]
                 total, spare = max(level.total, 1), float(d[1:] @ np.array(level.seen, np.float64))
                 p = np.where(level.total > 0, np.maximum(count - d[np.minimum(count, 3)], 0) / total + (spare / total) * p, p)
                 continue
-            context = fold(columns[:-1])
-            first, at = np.unique(context, return_inverse=True)
-            is_hot = lookup(model.frequent, columns[-2])[1]
-            one = np.empty(len(first), np.int64)
-            one[at] = np.arange(len(at))
-            where = shard_of(first, model.shards)
-            stats = np.where(is_hot[one][:, None], self.find(self.dealt[level.n], first, where, 4), self.find(self.contexts[level.n], first, where, 4)).astype(np.float64)
-            key, inverse = np.unique(fold(columns), return_inverse=True)
-            one = np.empty(len(key), np.int64)
-            one[inverse] = np.arange(len(inverse))
-            shard = np.where(is_hot[one], shard_of(key, model.shards), shard_of(context[one], model.shards))
-            count = self.find(self.grams[level.n], key, shard, 1)[:, 0].astype(np.int64)[inverse]
+            columns = grams(number[back], rows, level.n)
+            first, one, at = np.unique(fold(columns[:-1]), return_index=True, return_inverse=True)
+            hot = lookup(model.frequent, columns[-2][one])[1]
+            stats = np.empty((len(first), 4))
+            for which, tables in ((hot, self.dealt), (~hot, self.contexts)):
+                stats[which] = self.find(tables[level.n], first[which], first[which], 4)
+            key, one, inverse = np.unique(fold(columns), return_index=True, return_inverse=True)
+            by = np.where(hot[at[one]], key, first[at[one]])
+            count = self.find(self.grams[level.n], key, by, 1)[:, 0][inverse]
             total, ones, twos, more = stats[at].T
             safe = np.maximum(total, 1)
             spare = (d[1] * ones + d[2] * twos + d[3] * more) / safe
@@ -239,154 +302,160 @@ def _discounts(n: np.ndarray) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.1), k - 0.05) for k, x in enumerate(d, 1))
 
 
-def train(df: DataFrame, order: int = 2, id_column: str = "doc_id", text_column: str = "text") -> NgramModel:
+def train(df: DataFrame, order: int = 3, id_column: str = "doc_id", text_column: str = "text") -> NgramModel:
     """Count the n-grams of all rows and write the model to the shared folder.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; each text ends with one end token, so a
     null or empty text counts as that token alone. Words are known by a 64-bit hash. Repeated rows
     count as often as they occur. An empty table gives a model in which every token has the same
-    probability. Only the text column is read; clashing or extra columns don't matter.
+    probability. Texts may be of any length. Only the text column is read; clashing or extra columns
+    and null or repeated ids don't matter.
     """
     spark = df.sparkSession
-    n, folder = shards_of(spark), Folder(spark)
     texts = pick(df, text_column).toDF("text")
+    (n, fine), folder = shards_of(texts), Folder(spark)
 
     def tokens(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 yield with_ends(part.column(0))
 
-    # tokens: the base's counts and the contexts that are too frequent for one shard
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merge():
-            key, _, count = summed(np.concatenate([k for k, _ in waiting]), [], np.concatenate([c for _, c in waiting]))
+        def merged():
+            (key,), (count,) = summed([np.concatenate([k for k, _ in waiting])], [np.concatenate([c for _, c in waiting])], 1 << 63)
             return key, count
 
-        def out():
-            yield from by_shard(shard_of(key, n), n, key, count.astype(np.uint32))
+        def out(key, count):
+            yield from blob_batches(by_shard(shard_of(key, n * fine), n * fine, key, count.astype(np.uint64)))
 
         for tokens_, _ in tokens(batches):
             waiting.append(np.unique(tokens_, return_counts=True))
             if sum(len(k) for k, _ in waiting) > CHUNK:
-                waiting[:] = [merge()]
+                waiting[:] = [merged()]
                 if len(waiting[0][0]) > CHUNK // 2:
-                    key, count = waiting.pop()
-                    yield from blob_batches(out())
+                    yield from out(*waiting.pop())
         if waiting:
-            key, count = merge()
-            yield from blob_batches(out())
-
-    def write_unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard = TaskContext.get().partitionId()
-        key, count = unpack((b for x in batches for b in x.column(1).to_pylist()), (np.uint64, np.uint32))
-        key, _, count = summed(key, [], count.astype(np.int64))
-        folder.write(f"keys-0-{shard}", key)
-        folder.write(f"counts-0-{shard}", narrow(count))
-        often = np.flatnonzero(count > count.sum() // (4 * n))
-        yield _rows([(shard, len(key), int(count.sum()), None, None), *((shard, 0, 0, int(k), int(c)) for k, c in zip(key[often].view(np.int64), count[often], strict=True))])
-
-    found = folder.save(exchange(texts.mapInArrow(unigrams, "shard int, blob binary"), n).mapInArrow(write_unigrams, "shard int, kinds long, total long, key long, count long"), "tokens")
-    vocabulary, total = found.agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+            yield from out(*merged())
+
+    def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for bucket, blobs in buckets_of(batches, fine):
+            (key,), (count,) = summed([(got := unpack(blobs, (np.uint64, np.uint64)))[0]], [got[1]], 1 << 63)
+            keys.append(key)
+            counts.append(count)
+        key, count, shard = np.concatenate(keys), np.concatenate(counts), bucket // fine
+        place = np.empty(len(key), np.uint64)
+        place[np.argsort(-count.astype(np.int64), kind="stable")] = np.arange(len(key), dtype=np.uint64)
+        with folder.pack(f"words-{shard}") as add:
+            add(key, narrow(place), narrow(count))
+        often = np.flatnonzero(count > count.sum() // np.uint64(4 * n))
+        rows = [(len(key), int(count.sum()), None, None), *((0, 0, int(place[k]) * n + shard + 1, int(count[k])) for k in often)]
+        yield next(blob_batches(rows, ("kinds", "total", "number", "count"), (pa.int64(),) * 4))
+
+    found = folder.save(exchange(texts.mapInArrow(unigrams, "bucket int, blob binary"), n, fine).mapInArrow(write_words, "kinds long, total long, number long, count long"), "tokens")
+    vocabulary, total, most = found.agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.max("kinds"), F.lit(0))).first()
     # at most 4 x n tokens can have more than a 4 x n th of all
-    hot = found.filter(F.col("count") > max(64, total // (4 * n))).select("key").collect()
-    frequent = np.sort(np.r_[np.array([r.key for r in hot], np.int64).view(np.uint64), BEGIN])
-
-    levels: list[Level] = []
-    source = None
-    for size in range(order, 0, -1):
-        level, source = _count_level(folder, n, size, order, texts if size == order else source, tokens, frequent)
-        levels.append(level)
-    return NgramModel(order, n, folder, levels, frequent, total, vocabulary)
-
-
-def _rows(rows) -> pa.RecordBatch:
-    return next(blob_batches(rows, ("shard", "kinds", "total", "key", "count"), (pa.int32(), *[pa.int64()] * 4)))
-
-
-def _count_level(folder: Folder, n: int, size: int, order: int, source: DataFrame, tokens, lead: np.ndarray):
-    """Count grams of ``size`` words: of the texts for the highest order, else of the distinct grams above."""
-    def deal(columns: list[np.ndarray], key: np.ndarray) -> np.ndarray:
-        if size == 1:
-            return shard_of(key, n)
-        # a context is dealt out if its last word is frequent: its count is at most that word's
-        _, is_hot = lookup(lead, columns[-2])
-        return np.where(is_hot, shard_of(key, n), shard_of(fold(columns[:-1]), n))
-
-    def count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def out():
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            key, columns, count = summed(key_of(columns), columns, np.ones(len(columns[0]), np.int64))
-            yield from by_shard_narrow(deal(columns, key), n, columns, count)
-
-        for t, rows in tokens(batches):
-            held.append(grams(t, rows, size))
-            if sum(len(c[0]) for c in held) > CHUNK:
-                yield from blob_batches(out())
-                held = []
-        if held:
-            yield from blob_batches(out())
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard = TaskContext.get().partitionId()
-        columns, count = unpack_narrow((b for x in batches for b in x.column("blob").to_pylist()), size)
-        key, columns, count = summed(key_of(columns), columns, count)
-        folder.write(f"keys-{size}-{shard}", key)
-        folder.write(f"counts-{size}-{shard}", narrow(count))
-        seen = np.array([np.count_nonzero(count == k) for k in (1, 2, 3, 4)] + [np.count_nonzero(count >= 3), int(count.sum()), len(count)], np.int64)
-        names, kinds_ = ("shard", "seen", "dealt", "blob"), (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        out = [(shard, seen.tobytes(), None, None)]
+    hot = found.filter(F.col("count") > max(64, total // (4 * n))).select("number").collect()
+    frequent = np.sort(np.array([r.number for r in hot] + [int(BEGIN)], np.uint64))
+    counter = _Counter(folder, n, fine, order, frequent, n * (most + 1))
+    counter.train(texts, tokens)
+    return NgramModel(order, n, fine, folder, counter.levels, frequent, total, vocabulary)
+
+
+class _Counter:
+    """Counts order by order, from the highest one down."""
+
+    def __init__(self, folder: Folder, n: int, fine: int, order: int, frequent: np.ndarray, top: int):
+        self.folder, self.n, self.fine, self.order, self.frequent, self.top = folder, n, fine, order, frequent, top
+        self.levels: list[Level] = []
+
+    def bucket(self, columns: list[np.ndarray]) -> np.ndarray:
+        """By the context, or by the whole gram if there is none or its last word is frequent; its count is at most that word's."""
+        buckets = self.n * self.fine
+        key = shard_of(fold(columns), buckets)
+        if len(columns) == 1:
+            return key
+        return np.where(lookup(self.frequent, columns[-2])[1], key, shard_of(fold(columns[:-1]), buckets))
+
+    def train(self, texts: DataFrame, tokens) -> None:
+        kind = np.uint32 if self.top < 1 << 32 else np.uint64
+
+        def count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Vocabulary(self.folder, self.n)
+            held: list[list[np.ndarray]] = []
+
+            def out():
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                held.clear()
+                columns, (count,) = summed(columns, [np.ones(len(columns[0]), np.int64)], self.top)
+                yield from blob_batches(by_bucket(self.bucket(columns), self.n * self.fine, [*columns, count]))
+
+            for t, rows in tokens(batches):
+                kinds, back = np.unique(t, return_inverse=True)
+                held.append(grams(known.find(kinds)[0].astype(kind)[back], rows, self.order))
+                if sum(len(c[0]) for c in held) > CHUNK:
+                    yield from out()
+            if held:
+                yield from out()
+
+        grown, spark = texts.mapInArrow(count_texts, "bucket int, blob binary"), texts.sparkSession
+        for size in range(self.order, 0, -1):
+            done = self._level(grown, size)
+            if size < self.order:
+                self.folder.drop(spark, f"level-{size + 1}")
+            # exchanges of a level are of no use once it is written; Spark removes them when nothing refers to them
+            grown = done.filter(F.col("kind") == 2).select("bucket", "blob")
+            del done
+            gc.collect()
+            spark._jvm.System.gc()
+
+    def _level(self, grown: DataFrame, size: int) -> DataFrame:
+        """Write the grams of ``size`` words; the rows that are of use further on, by kind: 0 counts of
+        counts, 1 parts of contexts that were dealt out, 2 grams of the next lower order."""
+        folder, n, fine, buckets = self.folder, self.n, self.fine, self.n * self.fine
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            shard = TaskContext.get().partitionId()
+            names, kinds = ("kind", "bucket", "blob"), (pa.int32(), pa.int32(), pa.binary())
+            seen = np.zeros(6, np.int64)
+            with folder.pack(f"grams-{size}-{shard}") as add, folder.pack(f"contexts-{size}-{shard}") as add_contexts:
+                for _, blobs in buckets_of(batches, fine):
+                    *columns, count = joined(blobs, size + 1)
+                    columns, (count,) = summed(columns, [count], self.top)
+                    add(*table(fold(columns), [count]))
+                    seen += [*(np.count_nonzero(count == k) for k in (1, 2, 3, 4)), np.count_nonzero(count >= 3), int(count.sum())]
+                    if size == 1:
+                        continue
+                    stats = [count, count == 1, count == 2, count >= 3]
+                    contexts, stats = summed(columns[:-1], [x.astype(np.int64) for x in stats], self.top)
+                    hot = lookup(self.frequent, contexts[-1])[1]
+                    key = fold(contexts)
+                    add_contexts(*table(key[~hot], [x[~hot] for x in stats]))
+                    out = by_bucket(shard_of(key[hot], buckets), buckets, [*(c[hot] for c in contexts), *(x[hot] for x in stats)])
+                    yield from blob_batches(((1, *x) for x in out), names, kinds)
+                    lower, (many,) = summed(columns[1:], [np.ones(len(count), np.int64)], self.top)
+                    yield from blob_batches(((2, *x) for x in by_bucket(self.bucket(lower), buckets, [*lower, many])), names, kinds)
+            yield from blob_batches([(0, shard * fine, seen.tobytes())], names, kinds)
+
+        def write_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            shard, contexts = TaskContext.get().partitionId(), 0
+            with folder.pack(f"dealt-{size}-{shard}") as add:
+                for _, blobs in buckets_of(batches, fine):
+                    got = joined(blobs, size + 3)
+                    columns, stats = summed(got[: size - 1], got[size - 1 :], self.top)
+                    add(*table(fold(columns), stats))
+                    contexts += len(columns[0])
+            yield pa.RecordBatch.from_arrays([pa.array([contexts], pa.int64())], names=["kinds"])
+
+        done = folder.save(exchange(grown, n, fine).mapInArrow(write, "kind int, bucket int, blob binary"), f"level-{size}")
+        seen = sum((np.frombuffer(r.blob, np.int64) for r in done.filter("kind = 0").select("blob").collect()), np.zeros(6, np.int64))
         if size > 1:
-            context = fold(columns[:-1])
-            is_hot = lookup(lead, columns[-2])[1]
-            key_, stats = _context_stats(context[~is_hot], count[~is_hot])
-            folder.write(f"context-{size}-{shard}", key_)
-            folder.write(f"context-stats-{size}-{shard}", narrow(stats))
-            key_, stats = _context_stats(context[is_hot], count[is_hot])
-            edge = np.searchsorted(shard_of(key_, n), np.arange(n + 1))
-            out += ((int(k), None, packed([key_[edge[k] : edge[k + 1]], *(narrow(x) for x in stats[edge[k] : edge[k + 1]].T)]), None) for k in np.flatnonzero(np.diff(edge)))
-            lower = columns[1:]
-            low_key, lower, kinds = summed(key_of(lower), lower, np.ones(len(key), np.int64))
-            lower_deal = shard_of(low_key, n) if size == 2 else np.where(lookup(lead, lower[-2])[1], shard_of(low_key, n), shard_of(fold(lower[:-1]), n))
-            out += ((s, None, None, b) for s, b in by_shard_narrow(lower_deal, n, lower, kinds))
-        yield from blob_batches(out, names, kinds_)
-
-    def write_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard = TaskContext.get().partitionId()
-        parts = [unpacked(b, 5)[0] for x in batches for b in x.column("dealt").to_pylist()]
-        key, *stats = (np.concatenate(c).astype(np.uint64) for c in zip(*parts, strict=True)) if parts else [np.zeros(0, np.uint64)] * 5
-        order_ = np.argsort(key)
-        key = key[order_]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        folder.write(f"dealt-{size}-{shard}", key[first])
-        folder.write(f"dealt-stats-{size}-{shard}", narrow(np.stack([np.add.reduceat(x[order_], first) if len(first) else x for x in stats], 1)))
-        yield pa.RecordBatch.from_arrays([pa.array([len(first)], pa.int64())], names=["kinds"])
-
-    grown = source.mapInArrow(count_texts, "shard int, blob binary") if size == order else source
-    done = folder.save(exchange(grown, n).mapInArrow(write, "shard int, seen binary, dealt binary, blob binary"), f"level-{size}")
-    rows = done.filter(F.col("seen").isNotNull()).select("seen").collect()
-    seen = sum((np.frombuffer(r.seen, np.int64) for r in rows), np.zeros(7, np.int64))
-    if size > 1:
-        exchange(done.filter(F.col("dealt").isNotNull()).select("shard", "dealt"), n).mapInArrow(write_dealt, "kinds long").agg(F.sum("kinds")).first()
-    level = Level(size, _discounts(seen[:4]), int(seen[5]), (int(seen[0]), int(seen[1]), int(seen[4])))
-    return level, done.filter(F.col("blob").isNotNull()).select("shard", "blob")
-
-
-def _context_stats(context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted contexts with (tokens, kinds seen once, twice, more often)."""
-    if not len(context):
-        return context, np.zeros((0, 4), np.int64)
-    order = np.argsort(context)
-    context, count = context[order], count[order]
-    first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-    return context[first], np.stack([np.add.reduceat(x, first) for x in (count, (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count >= 3).astype(np.int64))], 1)
+            exchange(done.filter("kind = 1").select("bucket", "blob"), n, fine).mapInArrow(write_dealt, "kinds long").agg(F.sum("kinds")).first()
+        self.levels.append(Level(size, _discounts(seen[:4]), int(seen[5]), (int(seen[0]), int(seen[1]), int(seen[4]))))
+        return done

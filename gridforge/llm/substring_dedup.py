@@ -8,8 +8,9 @@ with their smallest and largest document, packed, and each shard writes the dige
 documents, sorted, to the shared folder, from which workers map them. Runs of neighbouring repeated
 chunks are candidates only, as each chunk may stand in another document. Inside them the shortest
 sequences of chunks of ``least_words`` words, from every first and to every last chunk, are digested
-and sent in the same way, with their smallest document; what sequences of two or more documents cover
-are repeated passages. No text is shuffled.
+and sent in the same way, with their smallest document; a sequence is known by a digest of its chunks'
+digests and one of its bytes, 128 bits in all. What sequences of two or more documents cover are
+repeated passages. No text is shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import Folder, blob_batches, by_shard, exchange, lookup, pick, shard_of, shards_of, unpack
+from ._frames import Folder, blob_batches, buckets_of, by_shard, exchange, lookup, pick, shard_of, shards_of, unpack
 from ._text import WHITE, mix, slices, span_hashes, spans, utf8
 
 WINDOW = 16
@@ -99,9 +100,12 @@ def substring_dedup(df: DataFrame, least_words: int = 20, mean: int = MEAN, id_c
     have no chunks. Texts are cut whole, however long; an empty table gives an empty result; only the
     two named columns are read.
     """
-    spark = df.sparkSession
-    n, folder = shards_of(spark), Folder(spark)
     docs = pick(df, id_column, text_column).toDF("doc_id", "text")
+    (n, fine), folder = shards_of(docs), Folder(df.sparkSession)
+    buckets = n * fine
+
+    def tables(name: str, width: int) -> list[tuple[np.ndarray, ...]]:
+        return [x for k in range(n) for x in zip(*[iter(folder.unpack(f"{name}-{k}"))] * width, strict=True)]
 
     def parts(batches):
         for batch in batches:
@@ -113,83 +117,93 @@ def substring_dedup(df: DataFrame, least_words: int = 20, mean: int = MEAN, id_c
 
     def owned(batches):
         for _, ids, _, _, _, _, rows, key in parts(batches):
-            yield key, np.repeat(ids, np.diff(rows))
+            yield key, np.zeros(len(key), np.uint8), np.repeat(ids, np.diff(rows))
 
     def candidates(batches):
         """The parts with words up to each byte, and sequences of repeated chunks with their digests."""
-        tables = [folder.read(f"key-{k}", np.uint64) for k in range(n)]
+        repeated = [x[0] for x in tables("key", 3)]
         for part, ids, data, offsets, starts, ends, rows, key in parts(batches):
-            seen = find(tables, key)[1]
+            seen = find(repeated, key)[1]
             solid = ~WHITE[data]
             word = solid.copy()
             word[1:] &= ~solid[:-1]
             word[offsets[:-1][np.diff(offsets) > 0]] = solid[offsets[:-1][np.diff(offsets) > 0]]
             count = np.concatenate(([0], np.cumsum(word)))
             begin, end = sequences(seen, rows, count[starts] - (solid & ~word)[starts], count[ends], least_words)
-            yield part, ids, data, offsets, starts, ends, rows, count, begin, end, span_hashes(key, begin, end, 1)
+            check = span_hashes(data, starts[begin], ends[end - 1], 2)
+            yield part, ids, data, offsets, starts, ends, rows, count, begin, end, span_hashes(key.view(np.uint8), 8 * begin, 8 * end, 1), check
 
     def owned_sequences(batches):
-        for _, ids, *_, rows, _, begin, _, key in candidates(batches):
-            yield key, ids[np.searchsorted(rows, begin, "right") - 1]
+        for _, ids, *_, rows, _, begin, _, key, check in candidates(batches):
+            yield key, check, ids[np.searchsorted(rows, begin, "right") - 1]
 
-    def find(tables, key):
-        """(position in its shard's table, found) of each key; the tables are sorted."""
+    def find(shards, key):
+        """(position in its bucket's table, found) of each key; the tables are sorted."""
         kinds, back = np.unique(key, return_inverse=True)
-        edge = np.searchsorted(shard_of(kinds, n), np.arange(n + 1))
+        edge = np.searchsorted(shard_of(kinds, buckets), np.arange(buckets + 1))
         at, found = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), bool)
         for k in np.flatnonzero(np.diff(edge)):
-            at[edge[k] : edge[k + 1]], found[edge[k] : edge[k + 1]] = lookup(tables[k], kinds[edge[k] : edge[k + 1]])
+            at[edge[k] : edge[k + 1]], found[edge[k] : edge[k + 1]] = lookup(shards[k], kinds[edge[k] : edge[k + 1]])
         return at[back], found[back]
 
     def digests(source, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def merged():
-            key, low, high = (np.concatenate(c) for c in zip(*held, strict=True))
-            return reduce(key, low, high)
-
-        for key, owner in source(batches):
-            held.append(reduce(key, owner, owner))
-            if sum(len(k) for k, _, _ in held) > CHUNK:
-                key, low, high = merged()
-                yield from blob_batches(by_shard(shard_of(key, n), n, key, low, high))
-                held = []
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out():
+            columns = reduce(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held.clear()
+            yield from blob_batches(by_shard(shard_of(columns[0], buckets), buckets, *columns))
+
+        for key, check, owner in source(batches):
+            held.append(reduce(key, check, owner, owner))
+            if sum(len(x[0]) for x in held) > CHUNK:
+                yield from out()
         if held:
-            key, low, high = merged()
-            yield from blob_batches(by_shard(shard_of(key, n), n, key, low, high))
+            yield from out()
 
-    def reduce(key, low, high):
+    def reduce(key, check, low, high):
         if not len(key):
-            return key, low, high
-        order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        return key[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+            return key, check, low, high
+        order = np.lexsort((check, key)) if check.any() else np.argsort(key)
+        key, check = key[order], check[order]
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])])
+        return key[first], check[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
 
     def table(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
-        key, low, high = reduce(*unpack((b for x in batches for b in x.column(1).to_pylist()), (np.uint64, np.int64, np.int64)))
-        folder.write(f"{name}-{shard}", key[low < high])
-        if name != "key":
-            folder.write(f"first-{shard}", low[low < high])
-        yield pa.RecordBatch.from_arrays([pa.array([len(key)], pa.int64())], names=["kinds"])
+        shard, kinds = TaskContext.get().partitionId(), 0
+        with folder.pack(f"{name}-{shard}") as add:
+            for _, blobs in buckets_of(batches, fine):
+                key, check, low, high = reduce(*unpack(blobs, (np.uint64, np.uint8 if name == "key" else np.uint64, np.int64, np.int64)))
+                again = low < high
+                kinds += len(key)
+                if name == "key":
+                    add(key[again], key[:0], key[:0])
+                    continue
+                key, check, low = key[again], check[again], low[again]
+                # of two sequences of one digest, which are hardly ever there, only the first could be found
+                alone = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+                add(key[alone], check[alone], low[alone])
+        yield pa.RecordBatch.from_arrays([pa.array([kinds], pa.int64())], names=["kinds"])
 
     for name, source in (("key", owned), ("sequence", owned_sequences)):
-        exchange(docs.mapInArrow(partial(digests, source), "shard int, blob binary"), n).mapInArrow(partial(table, name), "kinds long").agg(F.sum("kinds")).first()
+        exchange(docs.mapInArrow(partial(digests, source), "bucket int, blob binary"), n, fine).mapInArrow(partial(table, name), "kinds long").agg(F.sum("kinds")).first()
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [folder.read(f"sequence-{k}", np.uint64) for k in range(n)]
-        firsts = [folder.read(f"first-{k}", np.int64) for k in range(n)]
+        sequence = tables("sequence", 3)
+        keys = [x[0] for x in sequence]
         names = ("doc_id", "n_chunks", "n_passages", "repeated_bytes", "removed_bytes", "first_ids", "passages", "kept", "kept_sha256")
         types = (pa.int64(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.string(), pa.string())
-        for part, ids, data, offsets, starts, ends, rows, count, begin, end, key in candidates(batches):
-            at, hit = find(tables, key)
-            begin, end, key, at = begin[hit], end[hit], key[hit], at[hit]
-            low, shard = np.zeros(len(key), np.int64), shard_of(key, n)
-            for k in np.unique(shard):
-                low[shard == k] = firsts[k][at[shard == k]]
+        for part, ids, data, offsets, starts, ends, rows, count, begin, end, key, check in candidates(batches):
+            at, hit = find(keys, key)
+            low, bucket = np.zeros(len(key), np.int64), shard_of(key, buckets)
+            for k in np.unique(bucket[hit]):
+                mine = np.flatnonzero(hit & (bucket == k))
+                _, checks, firsts = sequence[k]
+                hit[mine] = checks[at[mine]] == check[mine]
+                low[mine] = firsts[at[mine]].view(np.int64)
+            begin, end, low = begin[hit], end[hit], low[hit]
             # starts and ends are in order, so the sequences over a chunk are neighbours
             chunk = np.arange(len(starts))
             first = least_of(low, np.searchsorted(end, chunk, "right"), np.searchsorted(begin, chunk, "right"))

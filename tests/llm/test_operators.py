@@ -137,17 +137,28 @@ def test_registered_language_model_is_of_order_three(spark, tmp_path, rows):
     assert orders[0] >= 3
 
 
-def test_narrow_grams_are_the_wide_ones():
+def test_packed_grams_and_tables_give_back_what_went_in():
     rng = np.random.default_rng(5)
-    columns = [rng.integers(0, 1 << 64, 300, np.uint64)[rng.integers(0, 300, 5000)] for _ in range(3)]
-    count = rng.choice([1, 2, 300, 1 << 40], 5000)
-    shard = rng.integers(0, 4, 5000)
-    blobs = dict(ngram_lm.by_shard_narrow(shard, 6, columns, count))
-    assert sorted(blobs) == [0, 1, 2, 3]
-    for k, blob in blobs.items():
-        got, many = ngram_lm.unpack_narrow([blob], 3)
-        assert sorted(zip(*got, many, strict=True)) == sorted(zip(*(c[shard == k] for c in columns), count[shard == k], strict=True))
-    assert sum(len(b) for _, b in ngram_lm.by_shard_narrow(shard, 6, columns, count % 200)) < 5000 * 28 // 2
+    for top in (50, 1 << 20, 1 << 40):  # packed into one number, and ordered by columns
+        columns = [rng.integers(0, top, 5000, np.uint64) for _ in range(3)]
+        count = rng.choice([1, 2, 300, 1 << 40], 5000)
+        plain = collections.Counter()
+        for *gram, c in zip(*(x.tolist() for x in columns), count.tolist(), strict=True):
+            plain[tuple(gram)] += c
+        columns, (count,) = ngram_lm.summed(columns, [count], top)
+        assert list(zip(*(c.tolist() for c in columns), strict=True)) == sorted(plain) and count.tolist() == [plain[k] for k in sorted(plain)]
+        bucket = rng.integers(0, 4, len(count))
+        for k, blob in ngram_lm.by_bucket(bucket, 6, [*columns, count]):
+            *got, many = ngram_lm.unpacked(blob, 4)
+            assert all(np.array_equal(g, c[bucket == k]) for g, c in zip(got, columns, strict=True)) and np.array_equal(many, count[bucket == k])
+        key = ngram_lm.fold(columns)
+        arrays = ngram_lm.table(key, [count, count % 7])
+        got = ngram_lm.find(arrays, np.r_[key, key + np.uint64(1)])
+        for g, c in zip(got, (count, count % 7), strict=True):
+            assert np.array_equal(g[: len(key)], c) and not g[len(key) :].any()
+    assert len(ngram_lm.packed([np.sort(rng.integers(0, 1 << 20, 5000, np.uint64)), np.ones(5000, np.int64)])) < 15_000
+    empty = ngram_lm.table(np.zeros(0, np.uint64), [np.zeros(0, np.int64)])
+    assert not ngram_lm.find(empty, np.arange(9, dtype=np.uint64))[0].any()
 
 
 def test_empty_tables(spark, none):
