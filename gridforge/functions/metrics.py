@@ -1,12 +1,15 @@
-"""Proper scores, ranking, calibration and conformal coverage, grouped by any columns.
+"""Proper scores, ranking, calibration and conformal coverage, grouped by any columns without nulls.
 
-Inputs have y (0/1) and p in [0, 1]. Ranking metrics first add up by distinct p, so the window that
-orders them sees at most one row a distinct score, partitioned by group.
+Inputs have y (0/1) and p in [0, 1]. What needs an order first adds up by distinct score and cuts the
+scores into slices at approximate quantiles (``slot``), as many as there are shuffle partitions. A
+slice's rows are ordered by themselves and the sums of the slices before are added, so no task orders
+a whole group, whether scores repeat or not; a quantile is looked for in its slice alone.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,31 +38,76 @@ def constant_scores(df: DataFrame, by: list[str], probability: float) -> DataFra
     return df.groupBy(*by).agg((-(k * math.log(q) + (1 - k) * math.log(1 - q))).alias("log_loss"), (k * (1 - probability) ** 2 + (1 - k) * probability**2).alias("brier"))
 
 
+def slot(df: DataFrame, column: str) -> Column:
+    """The slice that a value lies in, by edges that the driver gets from one pass over the column."""
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = sorted(set(df.approxQuantile(column, [k / parts for k in range(1, parts)], 1 / (8 * parts))))
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(column) <= edges[middle], between(low, middle)).otherwise(between(middle + 1, high))
+
+    return between(0, len(edges))
+
+
+def running(df: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
+    """Adds for each column upto_x, its sum over the group's rows up to this one, and all_x, over the
+    whole group. ``order`` has no ties in a group."""
+    cut = df.withColumn("_slot", slot(df, order))
+    parts = cut.groupBy(*by, "_slot").agg(*[F.sum(c).alias(c) for c in columns])  # a row a group and slice
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*by, "_slot", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in columns], *[F.sum(c).over(whole).alias(f"all_{c}") for c in columns])
+    inside = Window.partitionBy(*by, "_slot").orderBy(order)
+    out = cut.join(offsets, [*by, "_slot"])
+    out = out.withColumns({f"upto_{c}": F.col(f"_before_{c}") + F.sum(c).over(inside) for c in columns})
+    return out.drop("_slot", *[f"_before_{c}" for c in columns])
+
+
 def ranking(df: DataFrame, by: list[str]) -> DataFrame:
     """Average precision (step sum, ties together) and ROC area (ties count half); NULL without both classes."""
     steps = df.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("p"))
-    whole = Window.partitionBy(*by)
-    seen = steps.withColumns({"tp": F.sum("pos").over(down), "k": F.sum("n").over(down), "ones": F.sum("pos").over(whole), "zeros": F.sum(F.col("n") - F.col("pos")).over(whole)})
-    below = F.col("zeros") - (F.col("k") - F.col("tp"))  # negatives of smaller score
+    seen = running(steps, by, "p", ["pos", "n"])
+    # from the largest score down: positives and rows up to this score, itself included
+    tp = F.col("all_pos") - F.col("upto_pos") + F.col("pos")
+    k = F.col("all_n") - F.col("upto_n") + F.col("n")
+    below = (F.col("upto_n") - F.col("n")) - (F.col("upto_pos") - F.col("pos"))  # negatives of smaller score
     area = F.sum(F.col("pos") * (below + (F.col("n") - F.col("pos")) / 2.0))
-    return seen.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("k")), F.max("ones")).alias("average_precision"), F.try_divide(area, (F.max("ones") * F.max("zeros")).cast("double")).alias("roc_auc"))
+    ones, zeros = F.max("all_pos"), F.max(F.col("all_n") - F.col("all_pos"))
+    return seen.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * tp / k), ones).alias("average_precision"), F.try_divide(area, (ones * zeros).cast("double")).alias("roc_auc"))
+
+
+def quantile_edges(df: DataFrame, by: list[str], bins: int) -> DataFrame:
+    """(by, edges): the distinct quantiles of p at 0, 1/bins .. 1, interpolated linearly, in order."""
+    counts = running(df.groupBy(*by, "p").agg(F.count("*").alias("n")), by, "p", ["n"])
+    places = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda k: F.struct(k.alias("k"), ((F.col("all_n") - 1) * k / float(bins)).alias("at")))
+    has = lambda place: (place >= F.col("upto_n") - F.col("n")) & (place < F.col("upto_n"))
+    hits = counts.select(*by, "p", "n", "upto_n", F.explode(F.filter(places, lambda w: has(F.floor(w["at"])) | has(F.ceil(w["at"])))).alias("w")).withColumn("at", F.col("w.at"))
+    ends = hits.groupBy(*by, "w.k", "at").agg(F.max(F.when(has(F.floor("at")), F.col("p"))).alias("low"), F.max(F.when(has(F.ceil("at")), F.col("p"))).alias("high"))
+    share = F.col("at") - F.floor("at")
+    edge = F.when(share == 0, F.col("low")).otherwise((1 - share) * F.col("low") + share * F.col("high"))
+    return ends.groupBy(*by).agg(F.array_sort(F.collect_set(edge)).alias("edges"))
 
 
 def reliability(df: DataFrame, by: list[str], bins: int = 10, strategy: str = "quantile") -> DataFrame:
     """(by, bin, cell_count, mean_p, mean_y, gap). Quantile edges interpolate linearly and repeated
-    edges are one, so equal probabilities never part; bins are closed on the right."""
+    edges are one, so equal probabilities never part; bins are closed on the right. Rows are added up
+    by probability before they meet the edges."""
+    sums = df.groupBy(*by, "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     if strategy == "quantile":
-        shares = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-        edges = df.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile("p", shares))).alias("edges"))
+        edges = quantile_edges(df, by, bins)
         inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
-        placed = (df.join(F.broadcast(edges), by) if by else df.join(F.broadcast(edges))).withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("p"))))
+        placed = sums.join(edges, by) if by else sums.join(F.broadcast(edges))  # one row without groups
+        placed = placed.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("p"))))
     elif strategy == "uniform":
         inner = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-        placed = df.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("p"))))
+        placed = sums.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("p"))))
     else:
         raise ValueError("strategy must be 'quantile' or 'uniform'")
-    out = placed.groupBy(*by, "bin").agg(F.count("*").alias("cell_count"), F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"))
+    n = F.sum("n")
+    out = placed.groupBy(*by, "bin").agg(n.alias("cell_count"), (F.sum(F.col("p") * F.col("n")) / n).alias("mean_p"), (F.sum("pos") / n).alias("mean_y"))
     return out.withColumn("gap", F.abs(F.col("mean_p") - F.col("mean_y")))
 
 
@@ -67,23 +115,53 @@ def calibration_error(table: DataFrame, by: list[str]) -> DataFrame:
     return table.groupBy(*by).agg((F.sum(F.col("cell_count") * F.col("gap")) / F.sum("cell_count")).alias("ece"))
 
 
-def calibration_line(df: DataFrame, steps: int = 50, tolerance: float = 1e-10) -> tuple[float, float]:
-    """Intercept and slope of y on logit(p), unpenalised: Newton steps of five sums each."""
+def calibration_lines(df: DataFrame, by: list[str], steps: int = 50, tolerance: float = 1e-9) -> dict[tuple, tuple[float, float]]:
+    """Intercept and slope of y on logit(p) of each group, unpenalised, by Newton steps that are halved
+    where the likelihood falls. Rows are added up by probability once; a step is one pass over these
+    sums, and the driver sees six numbers a group. Groups whose logits don't vary, whose labels are all
+    alike or whose fit doesn't settle raise ValueError."""
     clipped = F.greatest(F.least(F.col("p"), F.lit(1 - 1e-6)), F.lit(1e-6))
-    rows = df.select(F.col("y").cast("double").alias("y"), F.log(clipped / (1 - clipped)).alias("x"))
-    a, b = 0.0, 1.0
-    for _ in range(steps):
-        q = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
-        w = q * (1 - q)
-        g0, g1, h00, h01, h11 = rows.agg(F.sum(F.col("y") - q), F.sum((F.col("y") - q) * F.col("x")), F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x"))).first()
-        det = h00 * h11 - h01 * h01
-        if det <= 0:
-            raise ValueError("logits don't vary")
-        da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
-        a, b = a + da, b + db
-        if abs(da) + abs(db) < tolerance:
-            break
-    return a, b
+    rows = df.groupBy(*by, F.log(clipped / (1 - clipped)).alias("x")).agg(F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n")).persist()
+    try:
+        names = [tuple(r) for r in rows.select(*by).distinct().collect()] if by else [()]
+        now = {g: (0.0, 1.0) for g in names}
+        step = dict.fromkeys(names, (0.0, 0.0))
+        best = dict.fromkeys(names, -math.inf)
+        open_ = set(names)
+        for _ in range(steps):
+            lines = df.sparkSession.createDataFrame([(*g, *now[g]) for g in sorted(open_, key=str)], rows.select(*by, F.lit(0.0).alias("_a"), F.lit(0.0).alias("_b")).schema)
+            z = F.col("_a") + F.col("_b") * F.col("x")
+            q = 1 / (1 + F.exp(-z))
+            w, gap = F.col("n") * q * (1 - q), F.col("pos") - F.col("n") * q
+            soft = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))  # log(1 + exp(z))
+            x = F.col("x")
+            sums = [F.sum(gap), F.sum(gap * x), F.sum(w), F.sum(w * x), F.sum(w * x * x), F.sum(F.col("pos") * z - F.col("n") * soft)]
+            joined = rows.join(F.broadcast(lines), by) if by else rows.join(F.broadcast(lines))  # a row a group
+            for row in joined.groupBy(*by).agg(*[c.alias(f"_s{k}") for k, c in enumerate(sums)]).collect():
+                group, (g0, g1, h00, h01, h11, likelihood) = tuple(row[: len(by)]), row[len(by) :]
+                a, b = now[group]
+                if likelihood is not None and likelihood < best[group] - 1e-9 * abs(best[group]):
+                    step[group] = (step[group][0] / 2, step[group][1] / 2)
+                    now[group] = (a - step[group][0], b - step[group][1])
+                    continue
+                det = 0.0 if h00 is None else h00 * h11 - h01 * h01
+                if not det > 1e-12 * max(h00 or 0.0, 1e-300) * max(h11 or 0.0, 1e-300):
+                    raise ValueError(f"logits of {group} don't vary or labels are separated")
+                best[group] = likelihood
+                step[group] = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+                now[group] = (a + step[group][0], b + step[group][1])
+                if sum(map(abs, step[group])) < tolerance:
+                    open_.discard(group)
+            if not open_:
+                return now
+        raise ValueError(f"no calibration line after {steps} steps for {sorted(open_, key=str)}")
+    finally:
+        rows.unpersist()
+
+
+def calibration_line(df: DataFrame, steps: int = 50, tolerance: float = 1e-9) -> tuple[float, float]:
+    """calibration_lines() of one group."""
+    return calibration_lines(df, [], steps, tolerance)[()]
 
 
 def nonconformity() -> Column:
@@ -91,14 +169,17 @@ def nonconformity() -> Column:
     return F.when(F.col("y") == 1, 1 - F.col("p")).otherwise(F.col("p"))
 
 
+def _rank(share: float) -> Callable[[Column], Column]:
+    """The rank ceil((n + 1) share), held within 1 to n, of n rows."""
+    return lambda n: F.greatest(F.least(F.ceil(F.round((n + 1) * share, 9)), n), F.lit(1))
+
+
 def conformal_quantile(df: DataFrame, by: list[str], alpha: float) -> DataFrame:
-    """Per group the score at rank ceil((n + 1)(1 - alpha)), held within 1 to n; equal scores are
-    added up before they are ordered."""
+    """Per group the score at rank ceil((n + 1)(1 - alpha)), held within 1 to n."""
     counts = df.groupBy(*by, nonconformity().alias("score")).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(*by)
-    marked = counts.withColumns({"upto": F.sum("k").over(w.orderBy("score")), "n": F.sum("k").over(w)})
-    rank = F.greatest(F.least(F.ceil(F.round((F.col("n") + 1) * (1 - alpha), 9)), F.col("n")), F.lit(1))
-    return marked.filter(F.col("upto") >= rank).groupBy(*by).agg(F.min("score").alias("q_hat"))
+    marked = running(counts, by, "score", ["k"])
+    rank = _rank(1 - alpha)(F.col("all_k"))
+    return marked.filter((F.col("upto_k") - F.col("k") < rank) & (rank <= F.col("upto_k"))).select(*by, F.col("score").alias("q_hat"))
 
 
 def prediction_sets(df: DataFrame) -> DataFrame:
@@ -115,18 +196,25 @@ def coverage(sets: DataFrame, by: list[str], target: float) -> DataFrame:
     return sets.groupBy(*by).agg(F.count("*").alias("rows"), F.avg(hit).alias("coverage"), (F.avg(hit) - target).alias("coverage_gap"), F.avg("set_size").alias("mean_set_size"), F.avg((F.col("set_size") == 1).cast("double")).alias("singleton_rate"), rate("{0,1}").alias("both_rate"), rate("{}").alias("empty_rate"), F.avg(F.when(F.col("y") == 1, hit)).alias("coverage_1"), F.avg(F.when(F.col("y") == 0, hit)).alias("coverage_0"))
 
 
-def temporal_coverage(df: DataFrame, target: float, fold: str = "fold") -> DataFrame:
-    """Each fold but the first, with sets calibrated on all earlier folds. Scores are added up by fold
-    and value first; only those sums meet the later folds, and the folds are few."""
-    folds = df.select(F.col(fold).alias("later")).distinct()
-    sums = df.groupBy(fold, nonconformity().alias("score")).agg(F.count("*").alias("k"))
-    earlier = sums.join(F.broadcast(folds), F.col(fold) < F.col("later")).groupBy("later", "score").agg(F.sum("k").alias("k"))
-    w = Window.partitionBy("later")
-    marked = earlier.withColumns({"upto": F.sum("k").over(w.orderBy("score")), "n": F.sum("k").over(w)})
-    rank = F.greatest(F.least(F.ceil(F.round((F.col("n") + 1) * target, 9)), F.col("n")), F.lit(1))
-    q = marked.filter(F.col("upto") >= rank).groupBy(F.col("later").alias(fold)).agg(F.min("score").alias("q_hat"))
-    sets = prediction_sets(df.join(F.broadcast(q), fold))
-    return coverage(sets, [fold], target).join(F.broadcast(q), fold)
+def temporal_coverage(df: DataFrame, target: float, fold: str = "fold", by: tuple[str, ...] = ()) -> DataFrame:
+    """Each fold but the first, with sets calibrated on all earlier folds; calibration_rows tells how many
+    rows these have. Scores are added up by fold and value; counts of slices tell in which slice a
+    later fold's quantile lies, and only that slice of the earlier folds is put together for it."""
+    by = list(by)
+    sums = df.groupBy(*by, fold, nonconformity().alias("score")).agg(F.count("*").alias("k"))
+    sums = sums.withColumn("slot", slot(sums, "score"))
+    parts = sums.groupBy(*by, fold, "slot").agg(F.sum("k").alias("k"))  # a row a fold and slice
+    folds = parts.groupBy(*by).agg(F.collect_set(fold).alias("folds"))
+    met = parts.join(folds, by) if by else parts.join(F.broadcast(folds))  # one row without groups
+    met = met.withColumn("later", F.explode(F.filter("folds", lambda f: f > F.col(fold)))).groupBy(*by, "later", "slot").agg(F.sum("k").alias("k"))
+    whole = Window.partitionBy(*by, "later")
+    met = met.withColumns({"upto": F.sum("k").over(whole.orderBy("slot")), "n": F.sum("k").over(whole)}).withColumn("rank", _rank(target)(F.col("n")))
+    wanted = met.filter((F.col("upto") - F.col("k") < F.col("rank")) & (F.col("rank") <= F.col("upto"))).select(*by, "later", "slot", "n", (F.col("rank") - F.col("upto") + F.col("k")).alias("rank"))
+    near = sums.join(wanted, [*by, "slot"]).filter(F.col(fold) < F.col("later")).groupBy(*by, "later", "n", "rank", "score").agg(F.sum("k").alias("k"))
+    inside = near.withColumn("upto", F.sum("k").over(Window.partitionBy(*by, "later").orderBy("score")))
+    q = inside.filter(F.col("upto") >= F.col("rank")).groupBy(*by, F.col("later").alias(fold)).agg(F.min("score").alias("q_hat"), F.max("n").alias("calibration_rows"))
+    keys = [*by, fold]
+    return coverage(prediction_sets(df.join(q, keys)), keys, target).join(q, keys)
 
 
 def summarise(folds: DataFrame, by: list[str], losses: list[str], gains: list[str]) -> DataFrame:
