@@ -6,10 +6,11 @@ matrices, so one series (two states) and a grid of inducing points (two states f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,19 +104,59 @@ def smooth_one(times, values, noises, lengthscale: float, variance: float) -> tu
     return out.means[:, 0], out.covariances[:, 0, 0], filtered.log_marginal
 
 
+def smooth_stack(times, values: np.ndarray, noises: np.ndarray, lengthscale: float, variance: float) -> tuple[np.ndarray, np.ndarray]:
+    """[series, times] means and variances of many series with the same times, filtered and smoothed side by side."""
+    moves = moves_between(times, lengthscale, variance)
+    mean, cov = np.zeros((len(values), 2)), np.tile(stationary(lengthscale, variance), (len(values), 1, 1))
+    means, covs = [], []
+    for t in range(values.shape[1]):
+        if t:
+            a, q = moves[t - 1]
+            mean, cov = mean @ a.T, a @ cov @ a.T + q
+        gain = cov[:, :, 0] / (cov[:, 0, 0] + noises[:, t])[:, None]
+        mean = mean + gain * (values[:, t] - mean[:, 0])[:, None]
+        rest = np.tile(np.eye(2), (len(values), 1, 1))
+        rest[:, :, 0] -= gain
+        cov = rest @ cov @ rest.transpose(0, 2, 1) + noises[:, t, None, None] * gain[:, :, None] * gain[:, None, :]
+        means.append(mean)
+        covs.append(cov)
+    for t in range(len(means) - 2, -1, -1):
+        a, q = moves[t]
+        ahead = a @ covs[t] @ a.T + q
+        back = np.linalg.solve(ahead, a @ covs[t]).transpose(0, 2, 1)
+        gap = means[t + 1] - means[t] @ a.T
+        means[t] = means[t] + (back @ gap[:, :, None])[:, :, 0]
+        covs[t] = covs[t] + back @ (covs[t + 1] - ahead) @ back.transpose(0, 2, 1)
+    return np.stack([m[:, 0] for m in means], 1), np.stack([c[:, 0, 0] for c in covs], 1)
+
+
 def smooth_series(df: DataFrame, keys: list[str], time: str, value: str, noise: float, lengthscale: float, variance: float) -> DataFrame:
     """keys, time, n, mean, variance: each key's series given all its observations.
 
     Observations of one key and time are first added up (n of them with noise s2 say the same as
     their mean with s2 / n), so a hot key's rows combine before the shuffle, and a task holds a
-    key's distinct times only. Null times or values are passed over; an empty table gives an empty result.
+    key's distinct times only. The series of a batch that have the same times are worked off side by
+    side. Null times or values are passed over; an empty table gives an empty result.
     """
     seen = df.filter(F.col(time).isNotNull() & F.col(value).isNotNull()).groupBy(*keys, F.col(time).cast("double").alias(time)).agg(F.count("*").alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(time)
-        mean, var, _ = smooth_one(group[time].to_numpy(), group["mean"].to_numpy(), noise / group["n"].to_numpy(), lengthscale, variance)
-        return group.assign(mean=mean, variance=var)
+    rows = seen.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), "n", "mean"))).alias("seen"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(len(keys))
+            edge = column.offsets.to_numpy().astype(np.int64)
+            at, n, mean = (column.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            size = np.diff(edge)
+            out = np.empty((2, edge[-1]))
+            alike: dict[bytes, list[int]] = {}
+            for k in range(batch.num_rows):
+                alike.setdefault(at[edge[k] : edge[k + 1]].tobytes(), []).append(k)
+            for series in alike.values():
+                place = edge[series][:, None] + np.arange(size[series[0]])
+                out[0, place], out[1, place] = smooth_stack(at[place[0]], mean[place], noise / n[place], lengthscale, variance)
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), size))
+            inside = slice(edge[0], edge[-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(owner) for k in range(len(keys))), pa.array(at[inside]), pa.array(n[inside]), *(pa.array(x[inside]) for x in out)], names=[*keys, time, "n", "mean", "variance"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seen.schema.fields) + ", variance double"
-    return seen.groupBy(*keys).applyInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
