@@ -28,7 +28,7 @@ def normalise(values: pd.Series) -> pd.Series:
 
 def listed(c: Column) -> Column:
     """A comma-joined cell as an array of trimmed, non-empty parts."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def contains(c: Column, part: str) -> Column:

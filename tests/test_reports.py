@@ -103,3 +103,10 @@ def test_percentiles_count_missing_cells_as_zero(spark):
     assert (got.mean, got.p50, got.covered_p50, got.p100) == (1.5, 1.0, 3.0, 4.0)
     assert {(r.observations, r.cells) for r in reports.frequency(df, ["e"], "n").collect()} == {(0, 2), (2, 1), (4, 1)}
     assert reports.count_percentiles(df.filter(F.lit(False)), ["e"], "n").count() == 0
+
+
+def test_listed_trims_white_space(spark):
+    from gridforge.functions.text import listed
+
+    got = spark.createDataFrame([(" a, ,b 0,1 ,2x",), (None,), ("",)], "c string").select(listed(F.col("c")).alias("c")).collect()
+    assert [r.c for r in got] == [["a", "b 0", "1", "2x"], None, []]
