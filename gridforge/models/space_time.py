@@ -9,6 +9,7 @@ turns the sums into new sites and a new mean and runs the block filter.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -20,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import expected_log_probit, probit_probability
+from ..operators.checkpoints import shared_path
 from . import state_space as S
+from .sparse_gp import Adam
 
 JITTER = 1e-6
 
@@ -154,20 +157,67 @@ def _sums(rows: DataFrame, model: SpaceTime, degree: int) -> dict[float, np.ndar
     return {t: out.get(t, blank) for t in model.times.tolist()}
 
 
-def fit(df: DataFrame, time: str, x: str, y: str, features: list[str], target: str, points: np.ndarray, lengthscales=(5.0, 5.0), time_lengthscale: float = 1.5, variance: float = 1.0, rounds: int = 12, gamma: float = 0.5, ridge: float = 1e-3, degree: int = 20) -> SpaceTime:
+def _bounds(rows: DataFrame, models: list[SpaceTime], degree: int) -> np.ndarray:
+    """The bound of each of the models, from one pass over the rows."""
+    sent = rows.sparkSession.sparkContext.broadcast([(m, np.linalg.inv(m._kzz())) for m in models])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(sent.value))
+        for batch in batches:
+            data = _columns(batch)
+            for time in np.unique(data[:, 0]):
+                part = data[data[:, 0] == time]
+                for k, (model, inverse) in enumerate(sent.value):
+                    _, mean, var = model.latent(part[:, 1:3], part[:, 3:-1], *model.at(time), inverse)
+                    total[k] += expected_log_probit(part[:, -1], mean, var, degree)[0].sum()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
+
+    got = rows.mapInArrow(local, "total array<double>").select(*[F.sum(F.col("total")[k]) for k in range(len(models))]).first()
+    return np.array([v or 0.0 for v in got]) + np.array([m.log_prior for m in models])
+
+
+#: Settings that a fit may learn, by logarithm.
+LEARNT = ("space_x", "space_y", "time", "variance")
+
+
+def settings_of(model: SpaceTime) -> dict[str, float]:
+    return {"space_x": model.lengthscales[0], "space_y": model.lengthscales[1], "time": model.time_lengthscale, "variance": model.variance}
+
+
+def with_settings(model: SpaceTime, values: dict[str, float]) -> SpaceTime:
+    """The same sites and weights under other kernel settings, solved again."""
+    new = settings_of(model) | values
+    return replace(model, lengthscales=(new["space_x"], new["space_y"]), time_lengthscale=new["time"], variance=new["variance"]).solved()
+
+
+def setting_slopes(rows: DataFrame, model: SpaceTime, learn: tuple[str, ...], degree: int, gap: float = 1e-4) -> dict[str, float]:
+    """The bound's slopes by the logarithms of the settings, the sites held: central differences, all of
+    them from one pass over the rows."""
+    now = settings_of(model)
+    tried = [with_settings(model, {k: now[k] * float(np.exp(sign * gap))}) for k in learn for sign in (1, -1)]
+    got = _bounds(rows, tried, degree)
+    return {k: float(got[2 * i] - got[2 * i + 1]) / (2 * gap) for i, k in enumerate(learn)}
+
+
+def fit(df: DataFrame, time: str, x: str, y: str, features: list[str], target: str, points: np.ndarray, lengthscales=(5.0, 5.0), time_lengthscale: float = 1.5, variance: float = 1.0, rounds: int = 12, gamma: float = 0.5, ridge: float = 1e-3, degree: int = 20, learn: tuple[str, ...] = (), learning_rate: float = 0.05, clip: float = 10.0) -> SpaceTime:
     """Natural-gradient rounds over all rows; ``history`` has the bound before each and after the last.
 
     Sites move by the share ``gamma`` towards their targets; the mean takes a Newton step of the same
     share with a small ridge. The probit likelihood is log-concave, so site matrices stay positive.
-    Rows with a null in a needed column raise; times are the distinct values, which are few.
+    After the sites the settings in ``learn`` (see LEARNT) take an Adam step of ``learning_rate`` by the
+    bound's slopes, whose length is held to ``clip``; the others are frozen. Rows with a null in a needed
+    column raise; times are the distinct values, which are few.
     """
     rows = _rows(df, time, x, y, features, target)
+    path = f"{shared_path(df.sparkSession)}/space-time-{uuid.uuid4().hex}"
+    rows.write.parquet(path)  # every round reads the needed numbers, not the source
+    rows = df.sparkSession.read.parquet(path)
     nulls, times = rows.agg(F.count_if(F.concat_ws("", *[F.col(c).isNull().cast("string") for c in rows.columns]).contains("true")), F.sort_array(F.collect_set("c0"))).first()
     if nulls or not times:
         raise ValueError(f"{nulls} rows have a null" if nulls else "no rows")
     model = SpaceTime.start(points, times, len(features), lengthscales, time_lengthscale, variance)
     m, d = len(points), len(features) + 1
-    history = []
+    history, adam = [], Adam(learning_rate, clip)
     for step in range(rounds + 1):
         sums = _sums(rows, model, degree)
         history.append(sum(v[0] for v in sums.values()) + model.log_prior)
@@ -187,6 +237,10 @@ def fit(df: DataFrame, time: str, x: str, y: str, features: list[str], target: s
             site_vector=(1 - gamma) * model.site_vector + gamma * vector,
             site_matrix=(1 - gamma) * model.site_matrix + gamma * matrix,
         ).solved()
+        if learn:
+            moves = adam({k: np.array([v]) for k, v in setting_slopes(rows, model, learn, degree).items()})
+            now = settings_of(model)
+            model = with_settings(model, {k: now[k] * float(np.exp(v[0])) for k, v in moves.items()})
     return replace(model, history=history)
 
 

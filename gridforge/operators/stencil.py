@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import shared_path
+
 
 def box_sums(df: DataFrame, columns: list[str], size: int, by: str = "epoch") -> DataFrame:
     """Adds <column>_sum: the sum over the size x size box around each cell. NULL counts as 0 and the
@@ -103,11 +105,7 @@ def patches(df: DataFrame, cell_ha: float = 0.09, by: str = "epoch", rounds: int
     the label taken in every round, so long patches need few rounds. Runs, not cells, are iterated.
     Lineage is cut by reliable checkpoints.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridforge-"))
+    shared_path(df.sparkSession)
     built = df.filter(F.col("built") == 1).select(by, "row", "col")
     w = Window.partitionBy(by, "row").orderBy("col")
     runs = built.withColumn("g", F.col("col") - F.row_number().over(w)).groupBy(by, "row", "g").agg(F.min("col").alias("low"), F.max("col").alias("high"))
