@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.metrics import slot
+
 #: Named feature sets.
 BASE = ("distance_to_built_m_t", "slope_degrees", "built_fraction_11x11_t", "recent_local_growth_5y_t")
 FEATURE_SETS = {
@@ -74,3 +76,23 @@ def one_to_one(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
         return df.join(df.groupBy(*on).agg(F.count("*").alias("_n")), on).withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.lit("repeated key")).cast("long")).otherwise(F.col("_n"))).filter("_n = 1").drop("_n")
 
     return checked(left).join(checked(right), on, how)
+
+
+def time_step(origin: Column, first: int, years: int) -> Column:
+    """Steps of so many years since the first origin."""
+    return (origin - F.lit(float(first))) / float(years)
+
+
+def ordered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds place, 1 to n in order of the keys, which are unique: rows are ordered within range partitions
+    and a partition's first place comes from the counts of those before it."""
+    ranged = df.withColumn("_slot", slot(df, keys[-1]))
+    counts = ranged.groupBy(*keys[:-1], "_slot").agg(F.count("*").alias("_n"))  # a row a slice and leading key
+    before = counts.select(*keys[:-1], "_slot", F.coalesce(F.sum("_n").over(Window.orderBy(*keys[:-1], "_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys[:-1], "_slot").orderBy(keys[-1])
+    return ranged.join(before, [*keys[:-1], "_slot"]).withColumn("place", F.col("_before") + F.row_number().over(inside)).drop("_slot", "_before")
+
+
+def population_density(df: DataFrame, people: Column, area_m2: Column, source_year: Column) -> DataFrame:
+    """Adds people a square kilometre of the native pixel, 0 where the source has none, and the source's year."""
+    return df.withColumns({"population_density_t": F.coalesce(people / area_m2 * 1e6, F.lit(0.0)), "population_source_year": source_year.cast("int")})

@@ -1,5 +1,5 @@
 """Plans of the engine; importing it registers the queries of all its modules."""
 
-from . import model_queries, queries, report_queries
+from . import contract_queries, model_queries, queries, report_queries
 
-__all__ = ["model_queries", "queries", "report_queries"]
+__all__ = ["contract_queries", "model_queries", "queries", "report_queries"]
