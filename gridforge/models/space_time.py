@@ -211,7 +211,7 @@ def fit(df: DataFrame, time: str, x: str, y: str, features: list[str], target: s
     rows = _rows(df, time, x, y, features, target)
     path = f"{shared_path(df.sparkSession)}/space-time-{uuid.uuid4().hex}"
     rows.write.parquet(path)  # every round reads the needed numbers, not the source
-    rows = df.sparkSession.read.parquet(path)
+    rows = df.sparkSession.read.schema(rows.schema).parquet(path)
     nulls, times = rows.agg(F.count_if(F.concat_ws("", *[F.col(c).isNull().cast("string") for c in rows.columns]).contains("true")), F.sort_array(F.collect_set("c0"))).first()
     if nulls or not times:
         raise ValueError(f"{nulls} rows have a null" if nulls else "no rows")

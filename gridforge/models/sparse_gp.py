@@ -188,8 +188,9 @@ def _sliced(df: DataFrame, columns: list[str], slices: int) -> tuple[DataFrame,
     rows = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
     null = F.coalesce(*[F.when(F.col(c).isNull() | F.isnan(c), 1) for c in rows.columns], F.lit(0)) == 1
     path = f"{shared_path(df.sparkSession)}/sparse-gp-{uuid.uuid4().hex}"
-    rows.withColumn("slice", F.pmod(F.xxhash64(*rows.columns, F.monotonically_increasing_id()), F.lit(slices)).cast("int")).write.partitionBy("slice").parquet(path)
-    saved = df.sparkSession.read.parquet(path)
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64(*rows.columns, F.monotonically_increasing_id()), F.lit(slices)).cast("int"))
+    rows.write.partitionBy("slice").parquet(path)
+    saved = df.sparkSession.read.schema(rows.schema).parquet(path)
     n, bad = saved.agg(F.count("*"), F.count_if(null)).first()
     if bad or not n:
         raise ValueError(f"{bad} rows have a null" if bad else "no rows")
@@ -199,7 +200,7 @@ def _sliced(df: DataFrame, columns: list[str], slices: int) -> tuple[DataFrame,
 def _sums(rows: DataFrame, model: Sparse, degree: int) -> dict[str, np.ndarray]:
     """expected_likelihood() of all rows: added up in each task, then over the tasks."""
     sent = rows.sparkSession.sparkContext.broadcast(model)  # inducing points squared numbers
-    blank = expected_likelihood(model, np.zeros((0, rows.drop("slice").columns.__len__())), degree)
+    blank = expected_likelihood(model, np.zeros((0, len(rows.columns) - 1)), degree)
     sizes = {k: v.shape for k, v in blank.items()}
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +230,7 @@ def _sums(rows: DataFrame, model: Sparse, degree: int) -> dict[str, np.ndarray]:
     return out
 
 
-def fit(df: DataFrame, x: str, y: str, time: str, features: list[str], target: str, points: np.ndarray, steps: int = 100, slices: int = 1, method: str = "adam", rate: float = 0.05, clip: float = np.inf, learn: tuple[str, ...] = LEARNT, gamma: tuple[float, float, int] = (0.01, 0.5, 20), degree: int = 20, **settings) -> Sparse:
+def fit(df: DataFrame, x: str, y: str, time: str, features: list[str], target: str, points: np.ndarray, steps: int = 100, slices: int = 1, method: str = "adam", rate: float = 0.05, clip: float = np.inf, learn: tuple[str, ...] = LEARNT, gamma: tuple[float, float, int] = (0.01, 0.5, 20), degree: int = 20, settings: dict | None = None) -> Sparse:
     """``steps`` steps over the slices in turn. ``adam`` moves q, the weights and the settings together;
     ``natgrad`` moves q by the natural gradient, with the ramp gamma = (first, last, steps), after an Adam
     step of the rest on the same rows. Settings that aren't in ``learn`` stay. ``history`` has for each step
@@ -237,7 +238,7 @@ def fit(df: DataFrame, x: str, y: str, time: str, features: list[str], target: s
     if method not in ("adam", "natgrad"):
         raise ValueError("method must be 'adam' or 'natgrad'")
     rows, n = _sliced(df, [x, y, time, *features, target], slices)
-    model, adam, history = Sparse.start(points, len(features), **settings), Adam(rate, clip), []
+    model, adam, history = Sparse.start(points, len(features), **(settings or {})), Adam(rate, clip), []
     open_ = np.array([k in learn for k in LEARNT], float)
     for step in range(1, steps + 1):
         part = rows if slices == 1 else rows.filter(F.col("slice") == (step - 1) % slices)

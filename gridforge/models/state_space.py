@@ -31,6 +31,12 @@ def covariance_column(a: Column, b: Column, lengthscale: float, variance: float)
     return F.lit(float(variance)) * (F.lit(1.0) + d) * F.exp(-d)
 
 
+def continuous_matrices(lengthscale: float, variance: float) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Drift, noise's entry, its density and the observation of the process in continuous time."""
+    r = rate(lengthscale)
+    return np.array([[0.0, 1.0], [-r * r, -2 * r]]), np.array([[0.0], [1.0]]), 4 * r**3 * variance, np.array([[1.0, 0.0]])
+
+
 def stationary(lengthscale: float, variance: float) -> np.ndarray:
     return np.diag([variance, variance * rate(lengthscale) ** 2])
 

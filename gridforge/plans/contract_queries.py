@@ -184,7 +184,7 @@ def coverage_by_epoch(spark, sf):
 
 @query(f"""WITH {COVERAGE}, g AS (SELECT *, row_number() OVER (ORDER BY epoch) - 1 AS place, count(*) OVER () AS n FROM cov WHERE core_coverage_pct >= 10)
   SELECT epoch, coverage_source, CASE WHEN core_coverage_pct < 30 THEN 'WARN' ELSE 'PASS' END AS quality_flag FROM g WHERE n <= 3 OR place IN (0, CAST(round_even((n - 1) / 2.0E0, 0) AS BIGINT), n - 1)""")
-def anchor_epochs(spark, sf):
+def anchor_years(spark, sf):
     return G.anchor_epochs(_coverage(spark, sf), 10.0, 30.0, 3).drop("core_coverage_pct")
 
 

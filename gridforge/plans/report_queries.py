@@ -88,13 +88,13 @@ def anchor_epochs(spark, sf):
     return reports.anchor_epochs(V.cells(spark, sf).groupBy("epoch").agg((100.0 * F.sum("valid") / 1600).alias("coverage")), 1.0)
 
 
-@query("""WITH s AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0), l AS (SELECT o_orderkey AS id, o_custkey % 4 AS label, o_orderdate AS d, 1995 AS epoch FROM orders WHERE o_orderkey % 3 = 0)
-  SELECT (SELECT count(*) FROM l WHERE id NOT IN (SELECT id FROM s)) AS unknown_ids, (SELECT count(*) FROM s WHERE id NOT IN (SELECT id FROM l)) AS missing_ids, CAST(0 AS BIGINT) AS repeated_ids,
+@query("""WITH s AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P'), l AS (SELECT l_orderkey AS id, l_linenumber % 4 AS label, l_shipdate AS d, 1995 AS epoch FROM lineitem WHERE l_returnflag = 'R')
+  SELECT (SELECT count(*) FROM l WHERE id NOT IN (SELECT id FROM s)) AS unknown_ids, (SELECT count(*) FROM s WHERE id NOT IN (SELECT id FROM l)) AS missing_ids, (SELECT count(*) FROM (SELECT id FROM l GROUP BY id HAVING count(*) > 1)) AS repeated_ids,
     (SELECT count(*) FROM l WHERE label NOT IN (0, 1)) AS bad_labels, (SELECT count(*) FROM l WHERE label IN (0, 1) AND abs(year(d) - epoch) > 2) AS bad_dates""")
 def label_faults(spark, sf):
-    o = V.read(spark, sf, "orders")
-    labels = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 4).alias("label"), F.col("o_orderdate").alias("d"), F.lit(1995).alias("epoch"))
-    return reports.label_faults(labels, o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id")), "id", "label", "d", "epoch")
+    labels = V.read(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") % 4).alias("label"), F.col("l_shipdate").alias("d"), F.lit(1995).alias("epoch"))
+    samples = V.read(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"))
+    return reports.label_faults(labels, samples, "id", "label", "d", "epoch")
 
 
 @query("""SELECT s_suppkey, round(2.0E0 * (1 + r * d) * exp(-r * d), 9) AS covariance FROM (SELECT s_suppkey, sqrt(3.0E0) / 1.5E0 AS r, abs(s_suppkey % 7 - s_suppkey % 11)::DOUBLE AS d FROM supplier)""")

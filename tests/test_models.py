@@ -172,3 +172,49 @@ def test_registered_inducing_points_are_the_whole_grid(spark):
     epochs = {r.epoch for r in views.cells(spark, sf).select("epoch").distinct().collect()}
     got = queries.QUERIES["inducing_points"](spark, sf).collect()
     assert {r.time for r in got} == epochs and len(got) == 64 * len(epochs)
+
+
+def test_cvi_gate(spark):
+    from gridforge.models import cvi
+
+    times, y = np.array([0, 0.5, 1.2, 2.0, 3.3]), np.array([[0, 1, 1, 0, 1.0]])
+    sites, bounds = cvi.Sites.start(1, 5, 1e-3), []
+    for _ in range(25):
+        bounds.append(cvi.bound(times, sites, y, 1 - y, 1.5, 1.0, 40)[0])
+        values, noises = sites.observations()
+        mean, var = S.smooth_stack(times, values, noises, 1.5, 1.0)
+        want = dense(times, values[0], noises[0], 1.5, 1.0)
+        assert np.allclose(mean[0], want[0], atol=1e-10) and np.allclose(var[0], want[1], atol=1e-10)
+        k = S.covariance(times, times, 1.5, 1.0)
+        cov = k - k @ np.linalg.solve(k + np.diag(noises[0]), k)
+        divergence = 0.5 * (np.trace(np.linalg.solve(k, cov)) + mean[0] @ np.linalg.solve(k, mean[0]) - 5 + np.linalg.slogdet(k)[1] - np.linalg.slogdet(cov)[1])
+        assert bounds[-1] == pytest.approx(cvi.likelihood(y, 1 - y, mean, var, 40)[0].sum() - divergence, abs=1e-8)
+        _, g, h = cvi.likelihood(y, 1 - y, mean, var, 40)
+        sites = cvi.moved(sites, cvi.moment_gradients(mean, g, h), 0.2)
+    assert bounds == sorted(bounds) and bounds[-1] - bounds[0] > 0.5
+    with pytest.raises(ValueError):
+        cvi.Sites.start(1, 1, 0.0)
+    rows = [("a", float(t), int(v)) for t, v in zip(times, y[0], strict=True)] + [("b", 0.0, 1), ("b", 0.0, 1), ("b", None, 1), ("b", 1.0, None)]
+    got = cvi.smooth_labels(spark.createDataFrame(rows, "k string, t double, y int"), ["k"], "t", "y", 1.5, 1.0).toPandas()
+    _, mean, _ = cvi.fit(times, y, 1 - y, 1.5, 1.0)
+    assert np.allclose(got[got.k == "a"].sort_values("t")["mean"], mean[0]) and got[got.k == "b"][["ones", "zeros"]].values.tolist() == [[2, 0]]
+    with pytest.raises(Exception, match="0 or 1"):
+        cvi.smooth_labels(spark.createDataFrame([("a", 0.0, 2)], "k string, t double, y int"), ["k"], "t", "y", 1.5, 1.0).collect()
+
+
+def test_stack_equals_single_series():
+    rng = np.random.default_rng(4)
+    times = np.cumsum(rng.uniform(0.1, 2, 8))
+    values, noises = rng.normal(size=(5, 8)), rng.uniform(0.1, 1, (5, 8))
+    mean, var = S.smooth_stack(times, values, noises, 1.5, 0.7)
+    for k in range(5):
+        one = S.smooth_one(times, values[k], noises[k], 1.5, 0.7)
+        assert np.allclose(mean[k], one[0], atol=1e-12) and np.allclose(var[k], one[1], atol=1e-12)
+
+
+def test_continuous_matrices_are_those_of_the_steps():
+    f, l, q, h = S.continuous_matrices(1.5, 0.7)
+    stationary = S.stationary(1.5, 0.7)
+    assert np.allclose(f @ stationary + stationary @ f.T + q * l @ l.T, 0, atol=1e-12) and np.allclose(h @ stationary @ h.T, 0.7)
+    small = 1e-6
+    assert np.allclose((S.transition(small, 1.5) - np.eye(2)) / small, f, atol=1e-4)
