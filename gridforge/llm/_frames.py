@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._text import mix
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; of columns with one name (in any case) the first that is spelt alike."""
@@ -32,6 +33,11 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)])
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The frame with its columns called c0, c1 .., for functions over whole rows of frames with clashing names."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 #: Bytes of input that a shard and a bucket of a shard are made for, and the largest number of shards.
 SHARD, BUCKET, MOST_SHARDS = 48 << 20, 64 << 20, 1 << 14
 
@@ -228,3 +234,46 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at = np.searchsorted(keys, wanted)
     at[at == len(keys)] = 0
     return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
+
+
+def without(df: DataFrame, gone: DataFrame, folder: Folder, key: str = "row") -> DataFrame:
+    """The rows of df, with all columns but the key, whose key (a long) isn't among gone's.
+
+    Gone's keys become sorted arrays in the folder, which workers map; df is read through and not shuffled.
+    """
+    (n, fine) = shards_of(df)
+    buckets, at = n * fine, df.columns.index(key)
+    rest = [k for k in range(len(df.columns)) if k != at]
+
+    def mixed(column) -> np.ndarray:
+        return np.sort(mix(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashed = mixed(batch.column(0))
+            yield from blob_batches(by_shard(shard_of(hashed, buckets), buckets, hashed))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        with folder.pack(f"gone-{TaskContext.get().partitionId()}") as add:
+            for _, blobs in buckets_of(batches, fine):
+                add(np.sort(unpack(blobs, (np.uint64,))[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["done"])
+
+    exchange(gone.select(key).mapInArrow(send, "bucket int, blob binary"), n, fine).mapInArrow(write, "done long").agg(F.sum("done")).first()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [x for k in range(n) for x in folder.unpack(f"gone-{k}")]
+        for batch in batches:
+            hashed = mix(batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            bucket, stays = shard_of(hashed, buckets), np.ones(len(hashed), bool)
+            for k in np.unique(bucket):
+                mine = np.flatnonzero(bucket == k)
+                stays[mine] = ~lookup(tables[k], hashed[mine])[1]
+            kept = batch.filter(pa.array(stays))
+            yield pa.RecordBatch.from_arrays([kept.column(k) for k in rest], schema=pa.schema([kept.schema.field(k) for k in rest]))
+
+    names = [df.columns[k] for k in rest]
+    whole = numbered(df)
+    return whole.mapInArrow(keep, whole.drop(f"c{at}").schema).toDF(*names)

@@ -8,6 +8,7 @@ larger than a few numbers a word.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from dataclasses import dataclass
 
@@ -165,7 +166,8 @@ def row_ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str | int, most: int = 8 << 20):
-    """The batch in parts of about ``most`` bytes of text (one row at least)."""
+    """The batch in parts of about ``most`` bytes of text (one row at least). Freed memory goes back to the
+    system after the batch, as a worker may then wait for long."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     edge = np.cumsum(sizes)
     k = 0
@@ -174,3 +176,9 @@ def slices(batch: pa.RecordBatch, column: str | int, most: int = 8 << 20):
         stop = max(k + 1, int(np.searchsorted(edge, base + most, "right")))
         yield batch.slice(k, stop - k)
         k = stop
+    if _trim:
+        _trim(0)
+
+
+#: The allocator's function that gives freed memory back, where there is one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

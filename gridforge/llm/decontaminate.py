@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import blob_batches, lookup, pick
+from ._frames import blob_batches, lookup, numbered, pick
 from ._text import BASE, mix, slices, span_hashes, spans, utf8
 
 #: Words of a seed that is sure to hit, where runs allow so many; items up to SHORT words have spaced seeds for SEED neighbours or more.
@@ -141,6 +141,20 @@ class Index:
                     yield *(x[k:stop][enough] for x in (item, row, at, low)), np.concatenate(([0], np.cumsum(n[enough]))), same[np.repeat(enough, n)]
                 k = stop
 
+    def leaks(self, column, percent: int) -> dict[tuple[int, int], tuple]:
+        """(words, matches, similarity, place in the text, place in the item) of each (row, item) that has a run that counts."""
+        hashes, rows = word_hashes(column)
+        best: dict[tuple[int, int], tuple] = {}
+        for item, row, at, low, edge, same in self.compared(hashes, rows):
+            start, end, most = longest_runs(same, edge, percent)
+            some = np.flatnonzero(most >= self.need[item])
+            columns = (item, row, start, end, most, low - rows[row] + start, low - at + start)
+            for i, r, start_, end_, match, word, place in zip(*(x[some].tolist() for x in columns), strict=True):
+                found = (end_ - start_, match, match / (end_ - start_), word, place)
+                if (r, i) not in best or (match, -word, -place) > (best[r, i][1], -best[r, i][3], -best[r, i][4]):
+                    best[r, i] = found
+        return best
+
 
 def longest_runs(same: np.ndarray, edge: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, matches) of the run with most matches and ``percent`` agreement in each of the parts, of equal ones the first.
@@ -173,37 +187,57 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_words: int = 13,
     agree and at least ``least_words`` match (for shorter items that share of their words). Of several runs of an item in a text the one with most matches counts, of equal
     ones the first. Items of fewer than 5 words are not looked for; null or empty texts and items
     have no words. Rows without doc_id are searched and reported without one; repeated rows report
-    each; an empty table gives an empty result; only the named columns are read. Words are compared
-    by 64-bit hashes.
+    each, repeated items once; an empty table gives an empty result; only the named columns are read.
+    Words are compared by 64-bit hashes.
     """
-    items = pick(benchmark, item_column, text_column).toDF("item_id", "text")
     texts = pick(docs, id_column, text_column).toDF("doc_id", "text")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(size) // (BLOCK // 2)))
     names = ("doc_id", "item_id", "n_words", "n_match", "similarity", "doc_word", "item_word")
     types = (*[pa.int64()] * 4, pa.float64(), pa.int64(), pa.int64())
     out = None
-    for b in range(blocks):
-        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        got = sorted(((r.item_id, r.text) for r in mine.collect()), key=str)
-        sent = docs.sparkSession.sparkContext.broadcast(got)  # at most about BLOCK bytes
+    for sent in _blocks(docs, benchmark, item_column, text_column):
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(*(list(c) for c in zip(*sent.value, strict=True)), least_words, percent) if sent.value else None
             for batch in batches if index else ():
                 for part in slices(batch, "text", 4 << 20):
-                    hashes, rows = word_hashes(part.column(1))
-                    best: dict[tuple[int, int], tuple] = {}
-                    for item, row, at, low, edge, same in index.compared(hashes, rows):
-                        start, end, most = longest_runs(same, edge, percent)
-                        some = np.flatnonzero(most >= index.need[item])
-                        columns = (item, row, start, end, most, low - rows[row] + start, low - at + start)
-                        for i, r, start_, end_, match, word, place in zip(*(x[some].tolist() for x in columns), strict=True):
-                            found = (end_ - start_, match, match / (end_ - start_), word, place)
-                            if (r, i) not in best or (match, -found[3], -found[4]) > (best[r, i][1], -best[r, i][3], -best[r, i][4]):
-                                best[r, i] = found
-                    yield from blob_batches(((part.column(0)[r].as_py(), index.ids[item], *x) for (r, item), x in sorted(best.items())), names, types)
+                    found = sorted(index.leaks(part.column(1), percent).items())
+                    yield from blob_batches(((part.column(0)[r].as_py(), index.ids[item], *x) for (r, item), x in found), names, types)
 
         leaks = texts.mapInArrow(find, "doc_id long, item_id long, n_words long, n_match long, similarity double, doc_word long, item_word long")
         out = leaks if out is None else out.unionByName(leaks)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, percent: int = 75, text_column: str = "text", item_column: str = "item_id") -> DataFrame:
+    """The rows without a leak as contamination() finds them, with all columns and as they are. They pass
+    through the search, so nothing is joined and null or repeated ids need no rule."""
+    names, at = docs.columns, docs.columns.index(text_column)
+    sent_blocks, docs = _blocks(docs, benchmark, item_column, text_column), numbered(docs)
+    for sent in sent_blocks:
+
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = Index(*(list(c) for c in zip(*sent.value, strict=True)), least_words, percent) if sent.value else None
+            for batch in batches:
+                for part in slices(batch, at, 4 << 20):
+                    stays = np.ones(part.num_rows, bool)
+                    if index:
+                        stays[[r for r, _ in index.leaks(part.column(at), percent)]] = False
+                    yield part.filter(pa.array(stays))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs.toDF(*names)
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, item_column: str, text_column: str) -> list:
+    """The distinct items in broadcast blocks of at most BLOCK bytes each, or of one item that is larger."""
+    items = pick(benchmark, item_column, text_column).toDF("item_id", "text").distinct()
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
+    blocks = max(1, -(-int(items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) // (BLOCK // 2)))
+    of = lambda: F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    while blocks > 1 and not items.groupBy(of().alias("b")).agg(F.sum(size).alias("s"), F.count("*").alias("n")).filter((F.col("s") > BLOCK) & (F.col("n") > 1)).isEmpty():
+        blocks *= 2
+    sent = []
+    for b in range(blocks):
+        mine = items if blocks == 1 else items.filter(of() == b)
+        sent.append(docs.sparkSession.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in mine.collect()), key=str)))
+    return sent

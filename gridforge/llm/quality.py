@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import pick
+from ._frames import numbered, pick
 from ._text import ngrams, slices, span_hashes, words
 
 BITS = 20
@@ -86,7 +86,7 @@ class Quality:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = Quality(sent.value)
             for batch in batches:
-                for part in slices(batch, "text", 4 << 20):
+                for part in slices(batch, "text", 2 << 20):
                     score = model.scores(part.column(1))
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -101,10 +101,11 @@ class Quality:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = Quality(sent.value)
             for batch in batches:
-                for part in slices(batch, at, 4 << 20):
+                for part in slices(batch, at, 2 << 20):
                     yield part.filter(pa.array(model.scores(part.column(at)) >= 0.5))
 
-        return df.mapInArrow(run, df.schema)
+        whole = numbered(df)
+        return whole.mapInArrow(run, whole.schema).toDF(*df.columns)
 
 
 def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], passes: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.01, l2: float = 0.02) -> Quality:
@@ -139,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_column: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 index, value, edge = features(part.column(2))
                 cut = lambda a: [a[edge[k] : edge[k + 1]].tobytes() for k in range(part.num_rows)]  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cut(index), pa.binary()), pa.array(cut(value), pa.binary())], names=["doc_id", "y", "index", "value"])
