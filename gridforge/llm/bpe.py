@@ -95,7 +95,10 @@ def byte_letters() -> dict[str, int]:
 
 
 class Automaton:
-    """Suffix links over the trie of the vocabulary's byte strings: which tokens end at each place of a text."""
+    """Suffix links over the trie of the vocabulary's byte strings: which tokens end at each place of a text.
+
+    The links lead from a state to the longest of its suffixes that is a state, so a walk along them
+    gives all tokens that end there, longest first."""
 
     def __init__(self, tokens: dict[bytes, int]):
         self.step: list[dict[int, int]] = [{}]
@@ -113,7 +116,6 @@ class Automaton:
                 at = nxt
             self.token[at] = token
         self.back = [0] * len(self.step)
-        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.step)  # (token, length), longest first
         queue = [0]
         for at in queue:
             for c, nxt in self.step[at].items():
@@ -121,15 +123,8 @@ class Automaton:
                 while at and link and c not in self.step[link]:
                     link = self.back[link]
                 self.back[nxt] = self.step[link].get(c, 0) if at else 0
-                own = ((self.token[nxt], self.length[nxt]),) if self.token[nxt] >= 0 else ()
-                self.ends[nxt] = own + self.ends[self.back[nxt]]
                 queue.append(nxt)
 
-    def next(self, at: int, c: int) -> int:
-        while at and c not in self.step[at]:
-            at = self.back[at]
-        return self.step[at].get(c, 0)
-
 
 class Bpe:
     """A byte-level vocabulary of a tokenizers JSON file."""
@@ -147,7 +142,7 @@ class Bpe:
         self.result = {(self.ids[raw(a)], self.ids[raw(b)]): self.ids[raw(a + b)] for a, b in pairs}
         self.made = {t: p for p, t in reversed(self.result.items())}
         self.bytes_of = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.automaton = Automaton(self.ids)
+        self.automaton: Automaton | None = Automaton(self.ids)
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         size = max(self.bytes_of) + 1
         self.token_size = np.array([len(self.bytes_of.get(i, b"")) for i in range(size)])
@@ -217,23 +212,21 @@ class Bpe:
 
     def piece(self, text: bytes) -> list[int]:
         """Ids of one piece."""
+        step, near, link, tokens, depth = self.tables()[:5]
         last, size = [0] * (len(text) + 1), [0] * (len(text) + 1)
-        at, auto = 0, self.automaton
-        step, ends, move = auto.step, auto.ends, auto.next
-        known, fits = self.compatible, self.fits
+        at, known, fits = 0, self.compatible, self.fits
         for end, c in enumerate(text, 1):
-            nxt = step[at].get(c)
-            at = nxt if nxt is not None else move(at, c)
-            for token, length in ends[at]:
-                before = end - length
-                if before:
-                    good = known.get(last[before] << 20 | token)
-                    if good is None:
-                        good = fits(last[before], token)
-                    if not good:
-                        continue
-                last[end], size[end] = token, length
-                break
+            at = step[at, c]
+            q = near[at]
+            while True:  # a byte is a token, so one fits
+                token, before = int(tokens[q]), end - int(depth[q])
+                good = not before or known.get(last[before] << 20 | token)
+                if good is None:
+                    good = fits(last[before], token)
+                if good:
+                    last[end], size[end] = token, end - before
+                    break
+                q = link[q]
         out, end = [], len(text)
         while end:
             out.append(last[end])
@@ -266,6 +259,7 @@ class Bpe:
             order = np.argsort(keys)
             ranks = np.array(list(self.rank.values()), np.int64)[order]
             self.sides.clear()
+            self.automaton = None  # the arrays have all of it
             self._tables = (step, near, link, np.array(auto.token, np.int32), np.array(auto.length, np.int32), symbols[0], taken[0], symbols[1], taken[1], keys[order], ranks)
         return self._tables
 
