@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +13,18 @@ from ._frames import Folder
 def join_counted(big: DataFrame, small: DataFrame, keys: list[str], most: int) -> DataFrame:
     """big joined with small, which has one row for each key and in ``many`` how many rows of big have it.
 
-    Keys with more than ``most`` rows of big would each fill a task; there are fewer of them than big's
-    rows / most, and they are broadcast. The others are joined by a shuffle without these.
+    Keys with more than ``most`` rows of big would each fill a task. There are fewer of them than big's
+    rows / most (4 x shards by hot_limit), so their rows come to the driver and are broadcast; the others
+    are joined by a shuffle without these, and alone if there are none.
     """
-    hot = F.broadcast(small.filter(F.col("many") > most).drop("many"))
-    cold = small.filter(F.col("many") <= most).drop("many")
-    rest = big.join(hot.select(*keys), keys, "left_anti").join(cold, keys)
-    return big.join(hot, keys).select(*rest.columns).unionByName(rest)
+    names = [c for c in small.columns if c != "many"]
+    rows = small.filter(F.col("many") > most).select(*names).collect()
+    small = small.select(*names)
+    if not rows:
+        return big.join(small, keys)
+    hot = F.broadcast(big.sparkSession.createDataFrame(rows, small.schema))
+    cold = big.join(hot.select(*keys), keys, "left_anti").join(small.join(hot.select(*keys), keys, "left_anti"), keys)
+    return big.join(hot, keys).select(*cold.columns).unionByName(cold)
 
 
 def hot_limit(rows: int, shards: int) -> int:
@@ -45,6 +52,8 @@ def components(edges: DataFrame, folder: Folder, name: str, shards: int) -> Data
         if after == state:
             break
         state = after
+    gc.collect()
+    spark._jvm.System.gc()  # the steps' plans and broadcasts are of no use any more
     return now.select(F.col("v").alias("node"), F.col("m").alias("root"))
 
 
