@@ -7,31 +7,16 @@ kept, all its decisions take effect, and its result is written before the next s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridforge.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality
-from gridforge.llm._frames import Folder, pick
+from gridforge.llm._frames import Folder, pick, without
 from gridforge.llm.queries import part_of, table, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents with a key for each row, written, so that every reader sees the same keys."""
-    return Folder(spark).save(pick(docs, *COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
-
-
-def _first() -> Column:
-    """Orders rows by doc_id, those without one last, and by key."""
-    return F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")
-
-
-def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose row isn't among those gone."""
-    return rows.join(gone.select("row"), "row", "left_anti").select(*COLUMNS)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from labelled documents of the input."""
     model = quality.train(docs, table(spark, sf_dir, "labels").filter(part_of(3) != 1))
@@ -40,24 +25,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays, one without doc_id only among such; of equal doc_ids one row."""
-    rows = _numbered(spark, docs)
-    found = exact_dedup.exact_dedup(rows.select(_first().alias("doc_id"), "text"))
-    return _without(rows, found.filter("not kept").select("doc_id.row"))
+    return exact_dedup.first_copies(pick(docs, *COLUMNS))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows that are joined by links the one with the smallest doc_id stays, as in exact_dedup_stage."""
-    rows = _numbered(spark, docs)
+    """Of rows that are joined by links the one with the smallest doc_id stays, as in exact_dedup_stage.
+
+    Rows get a key of their own, written with them, so that every reader sees the same keys."""
+    folder = Folder(spark)
+    rows = folder.save(pick(docs, *COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
     found = jaccard_join.jaccard_components(rows, id_column="row").select(F.col("doc_id").alias("row"), "component_id")
-    kept = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(_first()).alias("first"))
-    return rows.join(kept.select("first.row"), "row", "left_semi").select(*COLUMNS)
+    first = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")
+    kept = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(first).alias("first")).select("first.row")
+    return without(rows, found.select("row").join(kept, "row", "left_anti"), folder)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a benchmark passage go."""
-    rows = _numbered(spark, docs)
-    found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), id_column="row")
-    return _without(rows, found.select(F.col("doc_id").alias("row")).distinct())
+    return decontaminate.clean(pick(docs, *COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
