@@ -28,6 +28,7 @@ from ._text import BASE, mix, slices, span_hashes, spans, utf8
 
 #: Words of a seed that is sure to hit, where runs allow so many; items up to SHORT words have spaced seeds for SEED neighbours or more.
 SEED, MOST_SEED, SHORT = 3, 8, 12
+#: Items of fewer words are compared with whole texts.
 LEAST_ITEM = 5
 #: Hits, and words along diagonals, that are worked off at a time.
 PIECE = 1 << 18
@@ -88,6 +89,9 @@ class Index:
             for mask in masks_of(n, least_words, percent):
                 owners[mask] = owners.get(mask, False) | (size == n)
         item_of = np.repeat(np.arange(len(ids)), size)
+        self.short: dict[bytes, list[int]] = {}
+        for k in np.flatnonzero((size > 0) & (size < LEAST_ITEM)).tolist():
+            self.short.setdefault(self.hashes[self.rows[k] : self.rows[k + 1]].tobytes(), []).append(k)
         self.tables = []
         for mask, own in owners.items():
             key, at = seeds(self.hashes, self.rows, mask)
@@ -153,6 +157,10 @@ class Index:
                 found = (end_ - start_, match, match / (end_ - start_), word, place)
                 if (r, i) not in best or (match, -word, -place) > (best[r, i][1], -best[r, i][3], -best[r, i][4]):
                     best[r, i] = found
+        size = np.diff(rows)
+        for r in np.flatnonzero((size > 0) & (size < LEAST_ITEM)).tolist() if self.short else ():
+            for i in self.short.get(hashes[rows[r] : rows[r + 1]].tobytes(), ()):
+                best[r, i] = (int(size[r]), int(size[r]), 1.0, 0, 0)
         return best
 
 
@@ -185,8 +193,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_words: int = 13,
 
     A leak is a run of words of a text, word by word beside an item, of which at least ``percent``
     agree and at least ``least_words`` match (for shorter items that share of their words). Of several runs of an item in a text the one with most matches counts, of equal
-    ones the first. Items of fewer than 5 words are not looked for; null or empty texts and items
-    have no words. Rows without doc_id are searched and reported without one; repeated rows report
+    ones the first. Items of fewer than 5 words are leaks where they are a text's only words, as such
+    a run stands in many clean texts; null or empty texts and items have no words. Rows without doc_id are searched and reported without one; repeated rows report
     each, repeated items once; an empty table gives an empty result; only the named columns are read.
     Words are compared by 64-bit hashes.
     """

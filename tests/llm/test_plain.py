@@ -265,6 +265,7 @@ def plain_leaks(docs, items, least, percent):
         for item, other in items:
             b = word(other)
             if len(b) < decontaminate.LEAST_ITEM:
+                out[(i, item, len(b), len(b), 0, 0)] += bool(b) and a == b
                 continue
             need, best = decontaminate.least_match(len(b), least, percent), None
             for shift in range(-len(b) + 1, len(a)):
@@ -286,21 +287,22 @@ def plain_leaks(docs, items, least, percent):
                     best = found if best is None or found[:3] > best[:3] else best
             if best:
                 out[(i, item, best[3], best[0], -best[1], -best[2])] += 1
-    return out
+    return +out
 
 
 @pytest.mark.parametrize("seed", range(3))
 def test_decontamination_is_plain(spark, seed):
     rng = random.Random(seed)
     vocabulary_ = [f"v{k}" for k in range(30)]
-    items = [(k, " ".join(rng.choice(vocabulary_) for _ in range(rng.choice([3, 5, 6, 8, 11, 14, 25, 40])))) for k in range(14)] + [(50, None), (51, ""), (None, " ".join(f"u{k}" for k in range(16)))]
+    items = [(k, " ".join(rng.choice(vocabulary_) for _ in range([3, 5, 6, 8, 11, 14, 25, 40][k % 8]))) for k in range(14)] + [(50, None), (51, ""), (None, " ".join(f"u{k}" for k in range(16)))]
     docs = []
     for k in range(30):
         w = (rng.choice(items)[1] or "").split()
         w = [f"z{rng.randrange(99)}" if rng.random() < rng.choice([0, 0.1, 0.25]) else x for x in w]
         before, after = ([rng.choice(vocabulary_) for _ in range(rng.randint(0, 12))] for _ in range(2))
         docs.append((rng.choice([None, k, 3]), " ".join([*before, *w, *after])))
-    docs += [docs[0], docs[0], (70, None), (71, ""), (72, " ".join(f"U{k}!" for k in range(16)))]
+    short = next(t for _, t in items if t and len(t.split()) == 3)
+    docs += [docs[0], docs[0], (70, None), (71, ""), (73, short.upper()), (74, f"a {short}"), (72, " ".join(f"U{k}!" for k in range(16)))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contamination(clash(spark, docs), bench, least_words=13, percent=75).collect()
     want = plain_leaks(docs, items, 13, 75)
