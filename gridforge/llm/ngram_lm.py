@@ -39,7 +39,7 @@ CHUNK = 1 << 20
 #: Numbers of the place before a text and of words that training lacks.
 BEGIN, UNKNOWN = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
 #: A stored count that stands in the list of large ones; keys a cell of a table's index.
-LARGE, CELL = 255, 16
+LARGE, CELL = 255, 4
 
 
 def with_ends(column) -> tuple[np.ndarray, np.ndarray]:
@@ -119,13 +119,20 @@ def unpacked(blob: bytes, width: int) -> list[np.ndarray]:
     return columns
 
 
-def by_bucket(bucket: np.ndarray, n: int, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    """(bucket, its rows of the columns) of each bucket that has some; the rows are in order of the first column."""
+def parted(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places that have it, in order) of each bucket that occurs."""
+    if n <= 1 << 16:
+        bucket = bucket.astype(np.uint16)  # sorted by radix
     order = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[order], np.arange(n + 1))
+    edge = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=n))))
     for k in np.flatnonzero(np.diff(edge)):
-        mine = order[edge[k] : edge[k + 1]]
-        yield int(k), packed([c[mine] for c in columns])
+        yield int(k), order[edge[k] : edge[k + 1]]
+
+
+def by_bucket(bucket: np.ndarray, n: int, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """(bucket, its rows of the columns) of each bucket that has some; the rows are in order of the first column."""
+    for k, mine in parted(bucket, n):
+        yield k, packed([c[mine] for c in columns])
 
 
 def joined(blobs, width: int) -> list[np.ndarray]:
@@ -156,12 +163,18 @@ def find(arrays: list[np.ndarray], key: np.ndarray) -> list[np.ndarray]:
     bits = int(len(cells) - 1).bit_length() - 1
     cell = key >> np.uint64(64 - bits)
     want = (key >> np.uint64(32 - bits)).astype(np.uint32)
-    at, end = cells[cell].astype(np.int64), cells[cell + np.uint64(1)].astype(np.int64)
-    stop = end.copy()
-    while len(low) and np.any(at < end):  # the first place that isn't smaller, of all keys at once
-        middle = (at + end) >> 1
-        less = (at < end) & (low[np.minimum(middle, len(low) - 1)] < want)
-        at, end = np.where(less, middle + 1, at), np.where(less, end, middle)
+    at, stop = cells[cell].astype(np.int64), cells[cell + np.uint64(1)].astype(np.int64)
+    live = np.flatnonzero(at < stop)
+    first, end, mine = at[live], stop[live], want[live]
+    while len(live):  # the first place that isn't smaller, of all keys at once
+        middle = (first + end) >> 1
+        less = low[middle] < mine
+        first, end = np.where(less, middle + 1, first), np.where(less, end, middle)
+        done = first >= end
+        if done.any():
+            at[live[done]] = first[done]
+            go = ~done
+            live, first, end, mine = live[go], first[go], end[go], mine[go]
     hit = np.flatnonzero(at < stop)
     hit = hit[low[at[hit]] == want[hit]]
     out = []
@@ -248,17 +261,22 @@ class Reader:
         return [arrays[k : k + width] for k in range(0, len(arrays), width)]
 
     def find(self, tables, key: np.ndarray, by: np.ndarray, width: int) -> np.ndarray:
-        """[keys, width] values (0 where absent), each in the table that ``by`` chooses."""
-        bucket = shard_of(by, len(tables))
-        order = np.argsort(bucket, kind="stable")
+        """[keys, width] values (0 where absent) of keys, which may repeat, each in the table that ``by`` chooses."""
         out = np.zeros((len(key), width), np.int64)
-        edge = np.searchsorted(bucket[order], np.arange(len(tables) + 1))
-        for k in np.flatnonzero(np.diff(edge)):
-            mine = order[edge[k] : edge[k + 1]]
+        for k, mine in parted(shard_of(by, len(tables)), len(tables)):
             for j, v in enumerate(find(tables[k], key[mine])):
                 out[mine, j] = v
         return out
 
+    def _contexts(self, n: int, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, whether it was dealt out, [contexts, 4] counts) of contexts of an order."""
+        key = fold(columns)
+        hot = lookup(self.model.frequent, columns[-1])[1]
+        stats = np.empty((len(key), 4), np.int64)
+        for which, tables in ((hot, self.dealt), (~hot, self.contexts)):
+            stats[which] = self.find(tables[n], key[which], key[which], 4)
+        return key, hot, stats
+
     def logs(self, tokens: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: log10 of the base and of the model, and whether training has it."""
         model = self.model
@@ -276,15 +294,16 @@ class Reader:
                 p = np.where(level.total > 0, np.maximum(count - d[np.minimum(count, 3)], 0) / total + (spare / total) * p, p)
                 continue
             columns = grams(number[back], rows, level.n)
-            first, one, at = np.unique(fold(columns[:-1]), return_index=True, return_inverse=True)
-            hot = lookup(model.frequent, columns[-2][one])[1]
-            stats = np.empty((len(first), 4))
-            for which, tables in ((hot, self.dealt), (~hot, self.contexts)):
-                stats[which] = self.find(tables[level.n], first[which], first[which], 4)
-            key, one, inverse = np.unique(fold(columns), return_index=True, return_inverse=True)
-            by = np.where(hot[at[one]], key, first[at[one]])
-            count = self.find(self.grams[level.n], key, by, 1)[:, 0][inverse]
-            total, ones, twos, more = stats[at].T
+            key = fold(columns)
+            if level.n == 2:  # the context is a word: each is looked up once
+                before = np.append(0, back[:-1] + 1)
+                before[rows[:-1]] = 0
+                single = np.append(BEGIN, number)
+                context, hot, stats = (x[before] for x in self._contexts(2, [single]))
+            else:
+                context, hot, stats = self._contexts(level.n, columns[:-1])
+            count = self.find(self.grams[level.n], key, np.where(hot, key, context), 1)[:, 0]
+            total, ones, twos, more = stats.T
             safe = np.maximum(total, 1)
             spare = (d[1] * ones + d[2] * twos + d[3] * more) / safe
             p = np.where(total > 0, np.maximum(count - d[np.minimum(count, 3)], 0) / safe + spare * p, p)
