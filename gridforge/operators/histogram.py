@@ -13,7 +13,7 @@ def histogram(df: DataFrame, by: list[str], value: str = "value", buckets: int =
     if bounds:
         placed = known.withColumns({"low": F.lit(float(bounds[0])), "high": F.lit(float(bounds[1]))})
     else:
-        placed = known.join(F.broadcast(known.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"))), by)  # a row a group
+        placed = known.join(known.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high")), by)
     width = (F.col("high") - F.col("low")) / buckets
     bucket = F.when(width > 0, F.least(F.greatest(F.floor((F.col(value) - F.col("low")) / F.when(width > 0, width)), F.lit(0)), F.lit(buckets - 1))).otherwise(0)
     return placed.withColumn("bucket", bucket.cast("int")).groupBy(*by, "bucket").agg(F.avg(value).alias("bucket_mean"), F.count("*").alias("bucket_count"))

@@ -44,5 +44,5 @@ def with_indices(df: DataFrame, epsilon: float = 1e-6, soil: float = 0.5, count:
 
 def classify(df: DataFrame, thresholds: DataFrame, keys: list[str], index: str = "value") -> DataFrame:
     """built = index > threshold (strictly; NULL where the index is), valid = the index is there."""
-    joined = df.join(F.broadcast(thresholds), keys, "left")
+    joined = df.join(thresholds, keys, "left")
     return joined.withColumns({"built": F.when(F.col(index).isNotNull() & F.col("threshold").isNotNull(), (F.col(index) > F.col("threshold")).cast("int")), "valid": F.col(index).isNotNull().cast("int")})

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import deterministic_key
 
+SALTS = 64
+
 
 def vote_strata(df: DataFrame, methods: list[str]) -> DataFrame:
     """Adds common_valid, vote and stratum (0 no vote, 2 unanimous, else 1) from built_<m>, valid_<m>."""
@@ -22,15 +24,18 @@ def stratified_sample(df: DataFrame, by: list[str], cell: str, target: int, seed
     """The target rows of smallest key in each stratum, with population, sample_size and weight.
 
     A feature of this operator is its limit. Keys are hashes, so a first cut by hash value bounds what
-    a large stratum brings to the window: rows beyond four times the target's share can't be chosen
-    unless the cut keeps too few, and then the whole stratum takes part.
+    a large stratum brings to the windows: rows beyond four times the target's share can't be chosen
+    unless the cut keeps too few, and then the whole stratum takes part, a part of it in each window.
     """
     keyed = df.withColumn("key", deterministic_key(seed, *[F.col(c) for c in by], F.col(cell)))
-    size = keyed.groupBy(*by).agg(F.count("*").alias("population"))
+    size = df.groupBy(*by).agg(F.count("*").alias("population"))
     share = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    kept = keyed.join(F.broadcast(size), by).withColumn("in_cut", share <= 4.0 * target / F.col("population"))
+    kept = keyed.join(size, by).withColumn("in_cut", share <= 4.0 * target / F.col("population"))
     enough = kept.groupBy(*by).agg((F.sum(F.col("in_cut").cast("int")) >= F.least(F.lit(target), F.max("population"))).alias("enough"))
-    pool = kept.join(F.broadcast(enough), by).filter(F.col("in_cut") | ~F.col("enough"))
+    pool = kept.join(enough, by).filter(F.col("in_cut") | ~F.col("enough")).withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    # a stratum's rows are first thinned out in SALTS parts, so no window sees a whole stratum
+    part = Window.partitionBy(*by, "_salt").orderBy("key", cell)
+    pool = pool.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= target).drop("_salt")
     w = Window.partitionBy(*by).orderBy("key", cell)
     chosen = pool.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= target)
     return chosen.withColumn("sample_size", F.least(F.lit(target).cast("long"), F.col("population"))).withColumn("weight", F.col("population") / F.col("sample_size")).drop("in_cut", "enough")

@@ -59,7 +59,7 @@ def demand(pairs: DataFrame, cell_ha: float = 0.09, epoch: str = "epoch") -> Dat
 def synchronise_demand(demand_: DataFrame, cells: DataFrame, cell_ha: float = 0.09) -> DataFrame:
     """Counts and areas of demand rows replaced by those of the released cells; an empty group raises."""
     own = cells.groupBy(F.col("forecast_origin").alias("period_start"), F.col("target_year").alias("period_end")).agg(F.count("*").alias("n"), F.sum("target_transition_5y").alias("k"), F.max((~F.col("target_transition_5y").isin(0, 1)).cast("int")).alias("odd"))
-    joined = demand_.join(F.broadcast(own), ["period_start", "period_end"], "left")
+    joined = demand_.join(own, ["period_start", "period_end"], "left")
     checked = lambda c: F.when(F.col("n").isNotNull() & (F.col("odd") == 0), c).otherwise(F.raise_error(F.lit("no cells, or labels that aren't binary")).cast("long"))
     return joined.withColumns({"eligible_nonbuilt_cells": checked(F.col("n")), "eligible_nonbuilt_area_ha": F.col("n") * cell_ha, "new_built_cells": checked(F.col("k")), "observed_new_built_area_ha": F.col("k") * cell_ha}).select(*demand_.columns)
 

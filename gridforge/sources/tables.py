@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +47,12 @@ def write_release(df: DataFrame, path: str, partition: str, version: dict, prote
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_version")
     if protected and place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         raise FileExistsError(f"{path} is released")
-    df.write.mode("overwrite").partitionBy(partition).parquet(f"{path}/data")
+    store, jvm = place.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs
+    beside = f"{path}/.data-{uuid.uuid4().hex}"
+    df.write.partitionBy(partition).parquet(beside)  # a broken write leaves the release as it was
+    store.delete(jvm.Path(f"{path}/data"), True)
+    if not store.rename(jvm.Path(beside), jvm.Path(f"{path}/data")):
+        raise OSError(f"{path}/data couldn't be put in place")
     spark.createDataFrame([(stable_hash(version), json.dumps(version, sort_keys=True, default=str))], "sha256 string, version string").coalesce(1).write.mode("overwrite").json(f"{path}/_version")
 
 
