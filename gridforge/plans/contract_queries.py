@@ -386,3 +386,31 @@ def separated_epoch_samples(spark, sf):
     c = V.cells(spark, sf)
     c = GRID.with_coordinates(c.withColumns({"built_a": F.col("raw"), "built_b": (F.col("q") > 25 * F.col("obs")).cast("int"), "valid_a": F.col("valid"), "valid_b": F.lit(1)}))
     return G.sample_epoch(c, ["a", "b"], {"unanimous_nonbuilt": 20, "disagreement": 20, "unanimous_built": 20}, 42, 60.0).select("epoch", "stratum_name", "sample_id", "population", "sample_size", "sample_weight", "used_distance_m")
+
+
+@query(f"""WITH {V.CELLS} SELECT epoch, "row", col, CASE WHEN valid = 1 AND obs > 1 THEN 1 ELSE 0 END AS common_valid, raw + CASE WHEN q > 25 * obs THEN 1 ELSE 0 END AS vote,
+  CASE raw + CASE WHEN q > 25 * obs THEN 1 ELSE 0 END WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS stratum FROM cells""")
+def vote_strata_map(spark, sf):
+    from ..operators.sampling import vote_strata
+
+    c = V.cells(spark, sf).withColumns({"built_a": F.col("raw"), "built_b": (F.col("q") > 25 * F.col("obs")).cast("int"), "valid_a": F.col("valid"), "valid_b": (F.col("obs") > 1).cast("int")})
+    return vote_strata(c, ["a", "b"]).select("epoch", "row", "col", "common_valid", "vote", "stratum")
+
+
+@query("""WITH s AS (SELECT s_nationkey, round(max(s_acctbal) / 1E4, 2) AS m, round(min(s_acctbal) / 1E3, 0) AS f, CAST(count(*) AS DOUBLE) AS r, s_nationkey::VARCHAR AS method FROM supplier GROUP BY s_nationkey),
+  a AS (SELECT * FROM s WHERE m >= (SELECT max(m) FROM s) - 0.02E0), b AS (SELECT * FROM a WHERE abs(f - (SELECT max(f) FROM a)) <= 1E-12 + 1E-5 * abs((SELECT max(f) FROM a))), c AS (SELECT * FROM b WHERE abs(r - (SELECT min(r) FROM b)) <= 1E-12 + 1E-5 * abs((SELECT min(r) FROM b)))
+  SELECT CASE WHEN count(*) = 1 THEN 'PASS' ELSE 'MANUAL_DECISION_REQUIRED' END AS status, CASE WHEN count(*) = 1 THEN max(method) END AS method FROM c""")
+def method_choice(spark, sf):
+    from ..operators.sampling import select_method
+
+    s = V.read(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("method"))
+    scores = s.agg(F.round(F.max("s_acctbal") / 1e4, 2).alias("mean_yearly_weighted_f1"), F.round(F.min("s_acctbal") / 1e3, 0).alias("minimum_yearly_weighted_f1"), F.count("*").cast("double").alias("reversal_rate"))
+    return spark.createDataFrame([select_method(scores, 0.02)], "status string, method string")
+
+
+@query("""SELECT doc_id, regexp_replace(strip_accents(lower(replace(replace(nfc_normalize(coalesce(source, '') || ' ' || coalesce(lang, '') || ' Éß  '), 'ß', 'ss'), 'ẞ', 'ss'))), '^\\s+|\\s+$', '', 'g') AS name FROM documents""")
+def normalised_names(spark, sf):
+    from ..functions.text import normalise
+
+    name = F.concat(F.coalesce("source", F.lit("")), F.lit(" "), F.coalesce("lang", F.lit("")), F.lit(" Éß  "))
+    return V.read(spark, sf, "documents").select("doc_id", normalise(name).alias("name"))
