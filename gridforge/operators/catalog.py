@@ -49,15 +49,20 @@ def window_join(scenes: DataFrame, windows: DataFrame, sensors: dict[str, list[s
 
 def observation_metrics(observed: DataFrame, core: DataFrame, by: list[str]) -> DataFrame:
     """Per group over all core cells: share with at least one and three observations (percent), mean,
-    median and maximum. Cells without any observation count as zero."""
-    counts = observed.groupBy(*by, "cell_id").agg(F.count("*").alias("n"))
+    median and maximum, and the number of observations. Cells without any observation count as zero.
+
+    All comes from one table, how many cells have how many observations."""
     size = core.count()
-    some = counts.groupBy(*by).agg(F.count("*").alias("seen"), F.sum("n").alias("total"), F.sum((F.col("n") >= 3).cast("int")).alias("deep"), F.max("n").alias("maximum_valid_observations_core"))
-    # the median over all cells: of the count table with the unseen ones as zeros
-    spread = counts.groupBy(*by, "n").agg(F.count("*").alias("cells"))
-    zeros = some.select(*by, F.lit(0).cast("long").alias("n"), (F.lit(size) - F.col("seen")).alias("cells"))
-    median = spread.unionByName(zeros).filter("cells > 0").groupBy(*by).agg(F.percentile("n", 0.5, F.col("cells")).alias("median_valid_observations_core"))
-    return some.join(median, by).select(*by, (100.0 * F.col("seen") / size).alias("coverage_at_least_1_core_pct"), (100.0 * F.col("deep") / size).alias("coverage_at_least_3_core_pct"), (F.col("total") / size).alias("mean_valid_observations_core"), "median_valid_observations_core", "maximum_valid_observations_core")
+    spread = observed.groupBy(*by, "cell_id").agg(F.count("*").alias("n")).groupBy(*by, "n").agg(F.count("*").alias("cells"))
+    total = F.sum(F.col("n") * F.col("cells"))
+    some = spread.groupBy(*by).agg(F.sum("cells").alias("seen"), total.alias("observations"), F.sum(F.when(F.col("n") >= 3, F.col("cells")).otherwise(0)).alias("deep"), F.max("n").alias("maximum_valid_observations_core"), F.sort_array(F.collect_list(F.struct("n", "cells"))).alias("spread"))
+    # the values at the two middle places, the unseen cells first; the table has a row a count
+    upto = F.transform("spread", lambda x: F.struct(x["n"].alias("n"), (F.lit(size) - F.col("seen") + F.aggregate(F.filter("spread", lambda y: y["n"] <= x["n"]), F.lit(0).cast("long"), lambda t, y: t + y["cells"])).alias("upto")))
+    at = lambda place: F.coalesce(F.filter("places", lambda x: x["upto"] > place)[0]["n"], F.lit(0)) if place >= 0 else F.lit(0)
+    middle = lambda place: F.when(F.lit(place) < F.lit(size) - F.col("seen"), F.lit(0).cast("long")).otherwise(at(place))
+    out = some.withColumn("places", upto)
+    median = (middle((size - 1) // 2) + middle(size // 2)) / 2.0
+    return out.select(*by, (100.0 * F.col("seen") / size).alias("coverage_at_least_1_core_pct"), (100.0 * F.col("deep") / size).alias("coverage_at_least_3_core_pct"), (F.col("observations") / size).alias("mean_valid_observations_core"), median.alias("median_valid_observations_core"), "maximum_valid_observations_core", "observations")
 
 
 def choose_sensor_mode(results: DataFrame, least: float = 95.0, tolerance: float = 0.5) -> DataFrame:

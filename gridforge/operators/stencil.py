@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,16 +55,23 @@ def distance_to_built(df: DataFrame, resolution: float, by: str = "epoch") -> Da
     gap = F.least(F.col("row") - F.last(built, True).over(up), F.first(built, True).over(down) - F.col("row"))
     columns = df.select(by, "row", "col", gap.cast("double").alias("gap"))
 
-    def envelope(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("col")
-        x = pdf["col"].to_numpy(float)
-        pdf["distance_m"] = np.sqrt(_lower(x, pdf["gap"].to_numpy(float) ** 2)) * resolution
-        return pdf[[by, "row", "col", "distance_m"]]
+    rows = columns.groupBy(by, "row").agg(F.sort_array(F.collect_list(F.struct("col", "gap"))).alias("cells"))  # a row of the grid
+
+    def envelope(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(2)
+            edge = cells.offsets.to_numpy()
+            col, gap = (cells.values.field(k) for k in (0, 1))
+            x, f = col.to_numpy(zero_copy_only=False).astype(float), gap.to_numpy(zero_copy_only=False).astype(float) ** 2
+            found = np.concatenate([_lower(x[a:b], f[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)])
+            away = np.sqrt(found) * resolution
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(edge)))
+            inside = slice(edge[0], edge[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), col[inside], pa.array(away, mask=~np.isfinite(away))], names=[by, "row", "col", "distance_m"])
 
     kind = dict(df.dtypes)
     schema = ", ".join(f"{c} {kind[c]}" for c in (by, "row", "col")) + ", distance_m double"
-    out = columns.groupBy(by, "row").applyInPandas(envelope, schema)
-    return out.withColumn("distance_m", F.when(F.isnan("distance_m") | (F.col("distance_m") == float("inf")), None).otherwise(F.col("distance_m")))
+    return rows.mapInArrow(envelope, schema)
 
 
 def _lower(x: np.ndarray, f: np.ndarray) -> np.ndarray:

@@ -301,7 +301,7 @@ def _metrics(spark, sf):
     observed = _observed(spark, sf).withColumnRenamed("user_id", "cell_id")
     core = V.read(spark, sf, "events").select(F.col("user_id").alias("cell_id")).distinct()
     keys = ["epoch", "window_name", "number_of_months", "sensor_mode"]
-    return catalog.observation_metrics(observed, core, keys).join(observed.groupBy(*keys).agg(F.count("*").alias("scene_count")), keys)
+    return catalog.observation_metrics(observed, core, keys).withColumnRenamed("observations", "scene_count")
 
 
 @query(f"WITH {METRICS} SELECT epoch, window_name, number_of_months, sensor_mode, round(c1, 6) AS coverage_at_least_1_core_pct, round(c3, 6) AS coverage_at_least_3_core_pct, round(mean_n, 6) AS mean_valid_observations_core, median_n AS median_valid_observations_core, max_n AS maximum_valid_observations_core, CAST(scene_count AS BIGINT) AS scene_count FROM metrics")
