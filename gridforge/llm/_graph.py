@@ -48,12 +48,12 @@ def components(edges: DataFrame, folder: Folder, name: str, shards: int) -> Data
         step += 1
         now = folder.save(_small(_large(now, most), most), f"{name}-{step}")
         folder.drop(spark, f"{name}-{step - 1}")
+        gc.collect()
+        spark._jvm.System.gc()  # a step's plans and broadcasts are of no use to the next one
         after = _state(now)
         if after == state:
             break
         state = after
-    gc.collect()
-    spark._jvm.System.gc()  # the steps' plans and broadcasts are of no use any more
     return now.select(F.col("v").alias("node"), F.col("m").alias("root"))
 
 

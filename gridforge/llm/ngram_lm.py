@@ -36,6 +36,8 @@ from ._text import mix, slices, words
 
 END = np.uint64(0x243F6A8885A308D3)
 CHUNK = 1 << 20
+#: Bytes of text that a worker holds the lookups of.
+SLICE = 4 << 20
 #: Numbers of the place before a text and of words that training lacks.
 BEGIN, UNKNOWN = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
 #: A stored count that stands in the list of large ones; keys a cell of a table's index.
@@ -62,14 +64,29 @@ def grams(tokens: np.ndarray, rows: np.ndarray, n: int) -> list[np.ndarray]:
     return [*columns, tokens]
 
 
+def longer(key, c: np.ndarray) -> np.ndarray:
+    """The key of a gram with one more word, which has nothing to do with the key without it."""
+    return mix(key ^ c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def fold(columns: list[np.ndarray]) -> np.ndarray:
-    """One key of a gram's columns; for one gram and its beginning they have nothing to do with each other."""
-    total = np.full(len(columns[0]), len(columns), np.uint64)
+    """One key of a gram's columns."""
+    total = np.uint64(0x452821E638D01377)
     for c in columns:
-        total = mix(total ^ c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        total = longer(total, c)
     return total
 
 
+def distinct(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the values in order, each token's place among them), found by hashing; only distinct values are sorted."""
+    found = pa.array(tokens).dictionary_encode()
+    kinds, codes = found.dictionary.to_numpy(), found.indices.to_numpy()
+    order = np.argsort(kinds)
+    place = np.empty(len(kinds), np.int64)
+    place[order] = np.arange(len(kinds))
+    return kinds[order], place[codes]
+
+
 def summed(columns: list[np.ndarray], counts: list[np.ndarray], top: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Equal grams of numbers up to ``top`` with their counts added up, in order."""
     if not len(columns[0]):
@@ -141,9 +158,14 @@ def joined(blobs, width: int) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64)] * width
 
 
+def turned(key: np.ndarray) -> np.ndarray:
+    """The key with its first 16 bits last, as keys of a bucket are alike in these."""
+    return key << np.uint64(16) | key >> np.uint64(48)
+
+
 def table(key: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
     """Arrays of a sorted hash table: index, next 32 bits of each key, and for each value bytes, places and values of large ones."""
-    key = mix(key ^ UNKNOWN)  # keys of a bucket are alike in their first bits
+    key = turned(key)
     order = np.argsort(key)
     key = key[order]
     bits = max(1, (len(key) // CELL).bit_length())
@@ -159,7 +181,7 @@ def table(key: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
 def find(arrays: list[np.ndarray], key: np.ndarray) -> list[np.ndarray]:
     """Values of the keys in a table(), 0 where absent."""
     cells, low, *values = arrays
-    key = mix(key ^ UNKNOWN)
+    key = turned(key)
     bits = int(len(cells) - 1).bit_length() - 1
     cell = key >> np.uint64(64 - bits)
     want = (key >> np.uint64(32 - bits)).astype(np.uint32)
@@ -234,7 +256,7 @@ class NgramModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reader = Reader(model)
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", SLICE):
                     tokens, rows = with_ends(part.column(1))
                     base, score, known = reader.logs(tokens, rows)
                     n = np.diff(rows)
@@ -280,7 +302,7 @@ class Reader:
     def logs(self, tokens: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: log10 of the base and of the model, and whether training has it."""
         model = self.model
-        kinds, back = np.unique(tokens, return_inverse=True)
+        kinds, back = distinct(tokens)
         number, c = self.words.find(kinds)
         base = np.log10((c + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1)))[back]
         known = (c > 0)[back]
@@ -294,7 +316,6 @@ class Reader:
                 p = np.where(level.total > 0, np.maximum(count - d[np.minimum(count, 3)], 0) / total + (spare / total) * p, p)
                 continue
             columns = grams(number[back], rows, level.n)
-            key = fold(columns)
             if level.n == 2:  # the context is a word: each is looked up once
                 before = np.append(0, back[:-1] + 1)
                 before[rows[:-1]] = 0
@@ -302,6 +323,7 @@ class Reader:
                 context, hot, stats = (x[before] for x in self._contexts(2, [single]))
             else:
                 context, hot, stats = self._contexts(level.n, columns[:-1])
+            key = longer(context, columns[-1])
             count = self.find(self.grams[level.n], key, np.where(hot, key, context), 1)[:, 0]
             total, ones, twos, more = stats.T
             safe = np.maximum(total, 1)
@@ -336,7 +358,7 @@ def train(df: DataFrame, order: int = 3, id_column: str = "doc_id", text_column:
 
     def tokens(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 yield with_ends(part.column(0))
 
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +372,8 @@ def train(df: DataFrame, order: int = 3, id_column: str = "doc_id", text_column:
             yield from blob_batches(by_shard(shard_of(key, n * fine), n * fine, key, count.astype(np.uint64)))
 
         for tokens_, _ in tokens(batches):
-            waiting.append(np.unique(tokens_, return_counts=True))
+            kinds, back = distinct(tokens_)
+            waiting.append((kinds, np.bincount(back, minlength=len(kinds))))
             if sum(len(k) for k, _ in waiting) > CHUNK:
                 waiting[:] = [merged()]
                 if len(waiting[0][0]) > CHUNK // 2:
@@ -393,10 +416,10 @@ class _Counter:
     def bucket(self, columns: list[np.ndarray]) -> np.ndarray:
         """By the context, or by the whole gram if there is none or its last word is frequent; its count is at most that word's."""
         buckets = self.n * self.fine
-        key = shard_of(fold(columns), buckets)
         if len(columns) == 1:
-            return key
-        return np.where(lookup(self.frequent, columns[-2])[1], key, shard_of(fold(columns[:-1]), buckets))
+            return shard_of(fold(columns), buckets)
+        context = fold(columns[:-1])
+        return shard_of(np.where(lookup(self.frequent, columns[-2])[1], longer(context, columns[-1]), context), buckets)
 
     def train(self, texts: DataFrame, tokens) -> None:
         kind = np.uint32 if self.top < 1 << 32 else np.uint64
@@ -412,7 +435,7 @@ class _Counter:
                 yield from blob_batches(by_bucket(self.bucket(columns), self.n * self.fine, [*columns, count]))
 
             for t, rows in tokens(batches):
-                kinds, back = np.unique(t, return_inverse=True)
+                kinds, back = distinct(t)
                 held.append(grams(known.find(kinds)[0].astype(kind)[back], rows, self.order))
                 if sum(len(c[0]) for c in held) > CHUNK:
                     yield from out()
