@@ -80,15 +80,19 @@ def ranking(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, by: list[str], bins: int) -> DataFrame:
-    """(by, edges): the distinct quantiles of p at 0, 1/bins .. 1, interpolated linearly, in order."""
+    """(by, edges): the distinct quantiles of p at 0, 1/bins .. 1, interpolated linearly, in order. Edges
+    decide where equal probabilities go, so they have to be DuckDB's quantile_cont to the last bit: the
+    place is (n - 1) times the share, the value low * (1 - d) + high * d with one rounding less (fma),
+    which gives x again between x and x; two plain products may not."""
     counts = running(df.groupBy(*by, "p").agg(F.count("*").alias("n")), by, "p", ["n"])
-    places = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda k: F.struct(k.alias("k"), ((F.col("all_n") - 1) * k / float(bins)).alias("at")))
+    places = F.array(*[F.struct(F.lit(k).alias("k"), ((F.col("all_n") - 1) * F.lit(k / bins)).alias("at")) for k in range(bins + 1)])
     has = lambda place: (place >= F.col("upto_n") - F.col("n")) & (place < F.col("upto_n"))
     hits = counts.select(*by, "p", "n", "upto_n", F.explode(F.filter(places, lambda w: has(F.floor(w["at"])) | has(F.ceil(w["at"])))).alias("w")).withColumn("at", F.col("w.at"))
     ends = hits.groupBy(*by, "w.k", "at").agg(F.max(F.when(has(F.floor("at")), F.col("p"))).alias("low"), F.max(F.when(has(F.ceil("at")), F.col("p"))).alias("high"))
     share = F.col("at") - F.floor("at")
-    edge = F.when(share == 0, F.col("low")).otherwise((1 - share) * F.col("low") + share * F.col("high"))
-    return ends.groupBy(*by).agg(F.array_sort(F.collect_set(edge)).alias("edges"))
+    between = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), F.col("low"), 1 - share, F.col("high") * share).cast("double")  # a row a group and place
+    valued = ends.select(*by, F.when(share == 0, F.col("low")).otherwise(between).alias("edge"))  # before the groups: Spark takes no reflect inside of a set
+    return valued.groupBy(*by).agg(F.array_sort(F.collect_set("edge")).alias("edges"))
 
 
 def reliability(df: DataFrame, by: list[str], bins: int = 10, strategy: str = "quantile") -> DataFrame:

@@ -1,7 +1,9 @@
 """Literal fixtures and brute force for the grid, index, state, catalogue and metric operators."""
 
 import math
+from datetime import datetime
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from gridforge.functions import metrics as M
 from gridforge.functions import text as T
 from gridforge.operators import catalog, features, grid, histogram, indices, qa, sampling, states, stencil
+from gridforge.plans import queries
 from gridforge.sources import tables
 from gridforge.streaming.monthly import windowed_summary
 
@@ -186,6 +189,22 @@ def test_calibration_and_ranking(spark):
         M.validate(scored(spark, [2], [0.5]))
 
 
+def reliability_as_in_sql(spark, folder, rows):
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string, l_shipdate timestamp_ntz").write.parquet(f"{folder}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    got = [tuple(r) for r in queries.QUERIES["reliability_quantile"](spark, str(folder)).collect()]
+    assert sorted(got, key=str) == sorted(con.execute(queries.SQL["reliability_quantile"]).fetchall(), key=str)
+
+
+def test_quantile_bins_as_in_sql(spark, tmp_path):
+    """Edges between equal probabilities, and at places that round beside a whole number (90 * 0.7)."""
+    rng = np.random.default_rng(3)
+    sizes = [2, 7, 91, 91, *rng.integers(3, 300, 56).tolist()]
+    draw = lambda g, n: rng.permutation(n) / 2 if g == 2 else rng.integers(1, 51, n)
+    reliability_as_in_sql(spark, tmp_path, [(g, i, float(q), "RN"[i % 2], datetime(1900 + g, 3, 1)) for g, n in enumerate(sizes) for i, q in enumerate(draw(g, n))])
+
+
 def test_features(spark):
     df = spark.createDataFrame([(100.0, 0.0, 1.0, 0.2, 0.1), (200.0, 100.0, 2.0, 0.4, 0.3)], "population_density_t double, distance_to_built_m_t double, slope_degrees double, built_fraction_11x11_t double, recent_local_growth_5y_t double")
     rows = features.engineer(df).collect()
