@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,11 +82,13 @@ def ranking(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, by: list[str], bins: int) -> DataFrame:
-    """(by, edges): the distinct quantiles of p at 0, 1/bins .. 1, interpolated linearly, in order. Edges
-    decide where equal probabilities go, so they have to be DuckDB's quantile_cont to the last bit: the
-    place is (n - 1) times the share, the value low * (1 - d) + high * d with one rounding less (fma),
-    which gives x again between x and x; two plain products may not."""
-    counts = running(df.groupBy(*by, "p").agg(F.count("*").alias("n")), by, "p", ["n"])
+    """(by, edges): the distinct quantiles of p at 0, 1/bins .. 1, interpolated linearly, in order; nulls
+    don't count, and without any p edges is null. Edges decide where equal probabilities go, so they have
+    to be DuckDB's quantile_cont to the last bit: the place is (n - 1) times the share, the value low *
+    (1 - d) + high * d with one rounding less (fma), which gives x again between x and x; two plain
+    products may not."""
+    known = df.filter(F.col("p").isNotNull()).groupBy(*by, "p").agg(F.count("*").alias("n"))
+    counts = running(known, by, "p", ["n"])
     places = F.array(*[F.struct(F.lit(k).alias("k"), ((F.col("all_n") - 1) * F.lit(k / bins)).alias("at")) for k in range(bins + 1)])
     has = lambda place: (place >= F.col("upto_n") - F.col("n")) & (place < F.col("upto_n"))
     hits = counts.select(*by, "p", "n", "upto_n", F.explode(F.filter(places, lambda w: has(F.floor(w["at"])) | has(F.ceil(w["at"])))).alias("w")).withColumn("at", F.col("w.at"))
@@ -92,26 +96,27 @@ def quantile_edges(df: DataFrame, by: list[str], bins: int) -> DataFrame:
     share = F.col("at") - F.floor("at")
     between = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), F.col("low"), 1 - share, F.col("high") * share).cast("double")  # a row a group and place
     valued = ends.select(*by, F.when(share == 0, F.col("low")).otherwise(between).alias("edge"))  # before the groups: Spark takes no reflect inside of a set
-    return valued.groupBy(*by).agg(F.array_sort(F.collect_set("edge")).alias("edges"))
+    return valued.groupBy(*by).agg(F.when(F.count("edge") > 0, F.array_sort(F.collect_set("edge"))).alias("edges"))
 
 
 def reliability(df: DataFrame, by: list[str], bins: int = 10, strategy: str = "quantile") -> DataFrame:
     """(by, bin, cell_count, mean_p, mean_y, gap). Quantile edges interpolate linearly and repeated
-    edges are one, so equal probabilities never part; bins are closed on the right. Rows are added up
-    by probability before they meet the edges."""
+    edges are one, so equal probabilities never part; bins are closed on the right. Rows without p are
+    in the first bin, in none where their whole group has no p. Rows are added up by probability
+    before they meet the edges."""
     sums = df.groupBy(*by, "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     if strategy == "quantile":
         edges = quantile_edges(df, by, bins)
         inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
-        placed = sums.join(edges, by) if by else sums.join(F.broadcast(edges))  # one row without groups
-        placed = placed.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("p"))))
+        placed = sums.filter(reduce(and_, [F.col(c).isNotNull() for c in by])).join(edges, by, "left") if by else sums.join(F.broadcast(edges))  # one row without groups
+        placed = placed.withColumn("bin", F.array_size(F.filter(inner, lambda e: e < F.col("p"))))
     elif strategy == "uniform":
         inner = F.array(*[F.lit(k / bins) for k in range(1, bins)])
         placed = sums.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("p"))))
     else:
         raise ValueError("strategy must be 'quantile' or 'uniform'")
     n = F.sum("n")
-    out = placed.groupBy(*by, "bin").agg(n.alias("cell_count"), (F.sum(F.col("p") * F.col("n")) / n).alias("mean_p"), (F.sum("pos") / n).alias("mean_y"))
+    out = placed.groupBy(*by, "bin").agg(n.alias("cell_count"), (F.sum(F.col("p") * F.col("n")) / F.sum(F.when(F.col("p").isNotNull(), F.col("n")))).alias("mean_p"), (F.sum("pos") / n).alias("mean_y"))
     return out.withColumn("gap", F.abs(F.col("mean_p") - F.col("mean_y")))
 
 

@@ -53,7 +53,7 @@ def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.lit(0.02) + F.lit(0.96) * F.col("l_quantity") / 50.0).alias("p"), (F.year("l_shipdate") - 1994).alias("fold"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"), (F.lit(0.02) + F.lit(0.96) * F.col("l_quantity") / 50.0).alias("p"), (F.year("l_shipdate") - 1994).alias("fold"))
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,6 +205,11 @@ def test_quantile_bins_as_in_sql(spark, tmp_path):
     reliability_as_in_sql(spark, tmp_path, [(g, i, float(q), "RN"[i % 2], datetime(1900 + g, 3, 1)) for g, n in enumerate(sizes) for i, q in enumerate(draw(g, n))])
 
 
+def test_quantile_bins_with_nulls_as_in_sql(spark, tmp_path):
+    rows = [(1, i, None if i % 3 else 7.0 * i, None if i % 2 else "R", datetime(1996, 3, 1)) for i in range(31)]
+    reliability_as_in_sql(spark, tmp_path, [*rows, (2, 1, None, "R", datetime(1997, 3, 1)), (3, 1, 5.0, "R", None)])
+
+
 def test_features(spark):
     df = spark.createDataFrame([(100.0, 0.0, 1.0, 0.2, 0.1), (200.0, 100.0, 2.0, 0.4, 0.3)], "population_density_t double, distance_to_built_m_t double, slope_degrees double, built_fraction_11x11_t double, recent_local_growth_5y_t double")
     rows = features.engineer(df).collect()
