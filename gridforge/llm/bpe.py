@@ -16,18 +16,20 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._frames import pick
+from ._frames import lookup, pick
 from ._text import same_spans, slices, span_hashes, utf8
 
 KEPT = 1 << 20
 LONG = 64
+#: A rank past all others.
+NONE = 1 << 30
 #: The contractions that byte-level vocabularies split off.
 ONE, TWO = ("s", "t", "m", "d"), ("re", "ve", "ll")
 #: Unicode's White_Space beside the space U+0020.
@@ -98,90 +100,172 @@ class Automaton:
     """Suffix links over the trie of the vocabulary's byte strings: which tokens end at each place of a text.
 
     The links lead from a state to the longest of its suffixes that is a state, so a walk along them
-    gives all tokens that end there, longest first."""
-
-    def __init__(self, tokens: dict[bytes, int]):
-        self.step: list[dict[int, int]] = [{}]
-        self.token = [-1]
-        self.length = [0]
-        for text, token in tokens.items():
-            at = 0
-            for c in text:
-                nxt = self.step[at].get(c)
-                if nxt is None:
-                    nxt = self.step[at][c] = len(self.step)
-                    self.step.append({})
-                    self.token.append(-1)
-                    self.length.append(self.length[at] + 1)
-                at = nxt
-            self.token[at] = token
-        self.back = [0] * len(self.step)
-        queue = [0]
-        for at in queue:
-            for c, nxt in self.step[at].items():
-                link = self.back[at]
-                while at and link and c not in self.step[link]:
-                    link = self.back[link]
-                self.back[nxt] = self.step[link].get(c, 0) if at else 0
-                queue.append(nxt)
+    gives all tokens that end there, longest first. States are numbered by depth, and all of it is
+    arrays of one number a state or edge: the edge of a state and a byte lies at base[state] + byte
+    if owner has the state there, and else the next suffix with edges is asked, at last the root,
+    which has one for every byte."""
+
+    def __init__(self, data: np.ndarray, edges: np.ndarray, ids: np.ndarray):
+        """Of the byte strings data[edges[k] : edges[k + 1]], which are the tokens ids[k]."""
+        size, at = np.diff(edges), np.zeros(len(ids), np.int64)
+        keys, n, levels = [], 1, [0, 1]
+        for depth in range(int(size.max(initial=0))):
+            live = np.flatnonzero(size > depth)
+            key, back = np.unique(at[live] << 8 | data[edges[live] + depth], return_inverse=True)
+            at[live] = n + back
+            keys.append(key)
+            n += len(key)
+            levels.append(n)
+        key = np.concatenate(keys or [np.zeros(0, np.int64)])  # in order; edge k leads to state k + 1
+        parent, byte = key >> 8, (key & 255).astype(np.int32)
+        self.token = np.full(n, -1, np.int32)
+        self.token[at] = ids
+        self.length = np.repeat(np.arange(len(levels) - 1, dtype=np.int32), np.diff(levels))
+        suffix, self.near, self.link = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        inner, self.fall = np.bincount(parent, minlength=n) > 0, np.zeros(n, np.int32)
+        for low, high in zip(levels[1:-1], levels[2:], strict=True):
+            states = np.arange(low, high)
+            todo = states[parent[states - 1] > 0]
+            link = suffix[parent[todo - 1]].astype(np.int64)
+            while len(todo):
+                place, found = lookup(key, link << 8 | byte[todo - 1])
+                suffix[todo[found]] = place[found] + 1
+                more = ~found & (link > 0)
+                todo, link = todo[more], suffix[link[more]].astype(np.int64)
+            after = suffix[states]
+            self.link[states] = self.near[after]
+            self.near[states] = np.where(self.token[states] >= 0, states, self.link[states])
+            self.fall[states] = np.where(inner[after], after, self.fall[after])
+        self._place(parent, byte, n)
+
+    def _place(self, parent: np.ndarray, byte: np.ndarray, n: int) -> None:
+        """Lay the states' edges into one row: those of states with several where they fit, others into the gaps."""
+        first = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]]) if len(parent) else np.zeros(0, np.int64)
+        many = np.diff(np.append(first, len(parent)))
+        self.base = np.zeros(n, np.int32)  # before the root's edges lie none
+        used = bytearray(512 + 257 * len(parent))
+        used[:512] = b"\1" * 512
+        self.base[0] = at = 256
+        for k in np.argsort(-many, kind="stable").tolist():
+            if parent[first[k]] == 0:
+                continue
+            if many[k] == 1:
+                break
+            bytes_ = byte[first[k] : first[k] + many[k]].tolist()
+            while any(used[at + c] for c in bytes_):
+                at += 1
+            for c in bytes_:
+                used[at + c] = 1
+            self.base[parent[first[k]]] = at
+        single = first[(many == 1) & (parent[first] > 0)]
+        taken = np.frombuffer(used, np.uint8)
+        gaps = np.flatnonzero(taken[: np.flatnonzero(taken)[-1] + 1 + len(single)] == 0)[: len(single)]
+        self.base[parent[single]] = gaps - byte[single]
+        size = int(self.base.max()) + 256
+        self.owner, self.target = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        self.owner[256:512] = 0
+        at = self.base[parent] + byte
+        self.owner[at], self.target[at] = parent, np.arange(1, n)
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The states after one more byte each."""
+        at = self.base[state] + byte
+        out, todo = self.target[at], np.flatnonzero(self.owner[at] != state)
+        state, byte = self.fall[state[todo]], byte[todo]
+        while len(todo):
+            at = self.base[state] + byte
+            hit = self.owner[at] == state
+            out[todo[hit]] = self.target[at[hit]]
+            todo, state, byte = todo[~hit], self.fall[state[~hit]], byte[~hit]
+        return out
 
 
 class Bpe:
-    """A byte-level vocabulary of a tokenizers JSON file."""
+    """A byte-level vocabulary of a tokenizers JSON file.
+
+    A worker keeps one for as long as it lives, beside what later stages need, so what encodes and
+    decodes are small arrays only; dictionaries are made where they are asked for."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters = byte_letters()
-        raw = lambda t: bytes(letters[c] for c in t)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        #: rank and result of each merge; the later a merge, the larger its rank, and a token's parts come before it
-        self.rank = {(self.ids[raw(a)], self.ids[raw(b)]): k for k, (a, b) in enumerate(pairs)}
-        self.result = {(self.ids[raw(a)], self.ids[raw(b)]): self.ids[raw(a + b)] for a, b in pairs}
-        self.made = {t: p for p, t in reversed(self.result.items())}
-        self.bytes_of = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.automaton: Automaton | None = Automaton(self.ids)
+        vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        size = max(self.bytes_of) + 1
-        self.token_size = np.array([len(self.bytes_of.get(i, b"")) for i in range(size)])
+        raw = {i: bytes(letters[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
+        size = max(raw) + 1
+        self.plain = np.array(sorted(vocab.values()), np.int32)
+        self.token_size = np.array([len(raw.get(i, b"")) for i in range(size)])
         self.token_edge = np.concatenate(([0], np.cumsum(self.token_size)))
-        self.token_data = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
-        self.sides: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.token_data = np.frombuffer(b"".join(raw.get(i, b"") for i in range(size)), np.uint8)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        #: parts and result of each merge, in order of rank; the later a merge, the larger its rank, and a token's parts come before it
+        self.merges = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], np.int32).reshape(-1, 3)
+        del spec, vocab, raw, pairs
+        edges = np.concatenate(([0], np.cumsum(self.token_size[self.plain])))
+        data, _ = _gather(self.token_data, self.token_edge[:-1], self.token_size, self.plain)
+        self.automaton = Automaton(data, edges, self.plain)
+        made = np.full(size, -1, np.int32)
+        made[self.merges[::-1, 2]] = np.arange(len(self.merges), dtype=np.int32)[::-1]
+        self.right_symbol, self.right_taken = self._sides(made, 1)
+        self.left_symbol, self.left_taken = self._sides(made, 0)
+        key = self.merges[:, 0].astype(np.int64) << 20 | self.merges[:, 1]
+        order = np.argsort(key, kind="stable")
+        order = order[np.r_[key[order][1:] != key[order][:-1], True]] if len(order) else order
+        self.keys, self.ranks = key[order], order.astype(np.int32)
         self.compatible: dict[int, bool] = {}
-        self.ids_of = set(self.ids.values())
-        self._tables: tuple[np.ndarray, ...] | None = None
         self._pair = np.full(KEPT, -1, np.int64)
 
+    @cached_property
+    def rank(self) -> dict[tuple[int, int], int]:
+        """Rank of each merge."""
+        return {(a, b): k for k, (a, b, _) in enumerate(self.merges.tolist())}
+
+    @cached_property
+    def bytes_of(self) -> dict[int, bytes]:
+        """Bytes of each token."""
+        data, edge = self.token_data.tobytes(), self.token_edge.tolist()
+        return {i: data[edge[i] : edge[i + 1]] for i in [*self.plain.tolist(), *self.special.values()]}
+
+    @cached_property
+    def ids_of(self) -> set[int]:
+        """The tokens that aren't special."""
+        return set(self.plain.tolist())
+
+    @cached_property
+    def _rank_of(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+
+    def _sides(self, made: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+        """What stands at each token's left (part 0) or right (1) edge while it is made: each symbol from
+        the single byte on with the rank of the merge that takes it, from the token itself on with NONE."""
+        token = np.arange(len(made), dtype=np.int32)
+        found, live, at = [], token, token
+        while len(live):
+            merge = made[at]
+            live, merge = live[merge >= 0], merge[merge >= 0]
+            at = self.merges[merge, part]
+            if len(live):
+                found.append((live, at, merge))
+        size = np.bincount(np.concatenate([x[0] for x in found] or [token[:0]]), minlength=len(made))
+        symbol, taken = np.repeat(token[:, None], len(found) + 1, 1), np.full((len(made), len(found) + 1), NONE, np.int32)
+        for k, (live, at, merge) in enumerate(found, 1):
+            symbol[live, size[live] - k], taken[live, size[live] - k] = at, merge
+        return symbol, taken
+
     def merged(self, text: bytes) -> list[int]:
         """The encoding by its definition: the pair of lowest rank is merged again and again."""
-        out = [self.ids[bytes([b])] for b in text]
+        byte = {b: i for i, b in self.bytes_of.items() if len(b) == 1 and i in self.ids_of}
+        out = [byte[bytes([b])] for b in text]
         while len(out) > 1:
             best = min(((self.rank[p], k) for k, p in enumerate(zip(out, out[1:], strict=False)) if p in self.rank), default=None)
             if best is None:
                 break
             k = best[1]
-            out[k : k + 2] = [self.result[out[k], out[k + 1]]]
+            out[k : k + 2] = [int(self.merges[best[0], 2])]
         return out
 
-    def side(self, token: int, part: int) -> list[tuple[int, int]]:
-        """What stands at a token's left (part 0) or right (1) edge while it is made: each symbol from
-        the single byte on with the rank of the merge that takes it, the token itself with none."""
-        got = self.sides.get((token, part))
-        if got is None:
-            got, taken = [], 1 << 60
-            at = token
-            while True:
-                got.append((at, taken))
-                if at not in self.made:
-                    break
-                pair = self.made[at]
-                at, taken = pair[part], self.rank[pair]
-            got.reverse()
-            self.sides[token, part] = got
-        return got
-
     def fits(self, left: int, right: int) -> bool:
         """Whether no merge crosses from left to right, so that their joint bytes encode to these two.
 
@@ -192,31 +276,36 @@ class Bpe:
         key = left << 20 | right
         got = self.compatible.get(key)
         if got is None:
-            if len(self.compatible) > 2 * KEPT:
+            if len(self.compatible) >= KEPT >> 3:
                 self.compatible.clear()
-            a, b, i, j, got = self.side(left, 1), self.side(right, 0), 0, 0, True
+            a, a_taken, b, b_taken = (x.tolist() for x in (self.right_symbol[left], self.right_taken[left], self.left_symbol[right], self.left_taken[right]))
+            i, j, got, ranks = 0, 0, True, self._rank_of
             while True:
-                (x, x_taken), (y, y_taken) = a[i], b[j]
-                rank = self.rank.get((x, y))
+                x_taken, y_taken = a_taken[i], b_taken[j]
+                rank = ranks.get(a[i] << 20 | b[j])
                 if rank is not None and rank < x_taken and rank <= y_taken:
                     got = False
                     break
-                if x_taken <= y_taken:
+                if x_taken > y_taken:
+                    j += 1
+                elif x_taken < NONE:
                     i += 1
-                    if i == len(a):
-                        break
                 else:
-                    j += 1
+                    break
             self.compatible[key] = got
         return got
 
     def piece(self, text: bytes) -> list[int]:
         """Ids of one piece."""
-        step, near, link, tokens, depth = self.tables()[:5]
+        auto = self.automaton
+        base, owner, target, fall = auto.base, auto.owner, auto.target, auto.fall
+        near, link, tokens, depth = auto.near, auto.link, auto.token, auto.length
         last, size = [0] * (len(text) + 1), [0] * (len(text) + 1)
         at, known, fits = 0, self.compatible, self.fits
         for end, c in enumerate(text, 1):
-            at = step[at, c]
+            while owner[base[at] + c] != at:
+                at = fall[at]
+            at = target[base[at] + c]
             q = near[at]
             while True:  # a byte is a token, so one fits
                 token, before = int(tokens[q]), end - int(depth[q])
@@ -233,39 +322,9 @@ class Bpe:
             end -= size[end]
         return out[::-1]
 
-    def tables(self) -> tuple[np.ndarray, ...]:
-        """The automaton and the tokens' sides as arrays: step of every byte, nearest token at or before a
-        state on its suffix links, the next one after that, token and length of a state; then symbols and
-        taken ranks of right and left sides, and the merges' keys and ranks in order of key."""
-        if self._tables is None:
-            auto, n = self.automaton, len(self.automaton.step)
-            step = np.zeros((n, 256), np.int32)
-            near, link = np.zeros(n, np.int32), np.zeros(n, np.int32)
-            queue = [0]
-            for at in queue:
-                if at:
-                    step[at] = step[auto.back[at]]
-                for c, nxt in auto.step[at].items():
-                    step[at, c] = nxt
-                    queue.append(nxt)
-                link[at] = near[auto.back[at]]
-                near[at] = at if auto.token[at] >= 0 else link[at]
-            size = len(self.token_size)
-            sides = [[self.side(t, part) if t in self.ids_of else [(t, 1 << 60)] for t in range(size)] for part in (1, 0)]
-            deep = max(len(x) for side in sides for x in side)
-            symbols = [np.array([[x[min(k, len(x) - 1)][0] for k in range(deep)] for x in side], np.int32) for side in sides]
-            taken = [np.array([[x[min(k, len(x) - 1)][1] for k in range(deep)] for x in side], np.int64) for side in sides]
-            keys = np.array([a << 20 | b for a, b in self.rank], np.int64)
-            order = np.argsort(keys)
-            ranks = np.array(list(self.rank.values()), np.int64)[order]
-            self.sides.clear()
-            self.automaton = None  # the arrays have all of it
-            self._tables = (step, near, link, np.array(auto.token, np.int32), np.array(auto.length, np.int32), symbols[0], taken[0], symbols[1], taken[1], keys[order], ranks)
-        return self._tables
-
     def fits_all(self, pairs: np.ndarray) -> np.ndarray:
         """fits() of left << 20 | right, all walked together."""
-        right_symbol, right_taken, left_symbol, left_taken, keys, ranks = self.tables()[5:]
+        right_symbol, right_taken, left_symbol, left_taken, keys, ranks = self.right_symbol, self.right_taken, self.left_symbol, self.left_taken, self.keys, self.ranks
         out = np.ones(len(pairs), bool)
         live = np.arange(len(pairs))
         a, b = pairs >> 20, pairs & 0xFFFFF
@@ -275,12 +334,12 @@ class Bpe:
             x_taken, y_taken = right_taken[a, i], left_taken[b, j]
             key = x.astype(np.int64) << 20 | y
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            rank = np.where(keys[at] == key, ranks[at], 1 << 60)
-            crosses = (rank < x_taken) & (rank <= y_taken) & (rank < 1 << 60)
+            rank = np.where(keys[at] == key, ranks[at], NONE)
+            crosses = (rank < x_taken) & (rank <= y_taken) & (rank < NONE)
             out[live[crosses]] = False
             first = x_taken <= y_taken
             i, j = i + first, j + ~first
-            go = ~crosses & ~(first & (x_taken == 1 << 60))
+            go = ~crosses & ~(first & (x_taken == NONE))
             live, a, b, i, j = live[go], a[go], b[go], i[go], j[go]
         return out
 
@@ -298,7 +357,8 @@ class Bpe:
 
     def pieces(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, each piece's first and the end) of the pieces data[start : start + size]."""
-        step, near, link, token, depth = self.tables()[:5]
+        auto = self.automaton
+        near, link, token, depth = auto.near, auto.link, auto.token, auto.length
         count = np.zeros(len(starts), np.int64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # piece, place from the piece's end, id
         for low, high in ((0, 8), (8, 16), (16, 32), (32, LONG)):
@@ -311,7 +371,7 @@ class Bpe:
                 live = int(np.searchsorted(-size, -end, "right"))
                 if not live:
                     break
-                state[:live] = step[state[:live], data[at[:live] + end - 1]]
+                state[:live] = auto.step(state[:live], data[at[:live] + end - 1])
                 todo, q = np.arange(live), near[state[:live]]
                 while len(todo):
                     ids, before = token[q], end - depth[q]
@@ -410,7 +470,7 @@ def bpe_round_trip(df: DataFrame, path: str, id_column: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 flat, rows = model.encode_rows(part.column(1))
                 texts = model.decode_rows(flat, rows)
                 ids = [flat[a:b].astype("<u4") for a, b in zip(rows[:-1], rows[1:], strict=True)]

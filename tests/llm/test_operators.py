@@ -5,6 +5,9 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -431,6 +434,44 @@ def test_pair_test_is_its_definition(model):
     assert model.fits_all(np.array([a << 20 | b for a, b in pairs])).tolist() == want
 
 
+HELD = """
+import re, sys
+import pyarrow as pa
+from gridforge.llm import bpe
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+bpe.classes(), pa.array(["x"]).to_pylist()
+before = held()
+model = bpe.load(sys.argv[1])
+flat, _ = model.encode_rows(pa.array(["some words", "a" * 100]))
+print(held() - before, len(flat))
+"""
+
+
+def test_bpe_worker_holds_little():
+    """Workers keep a vocabulary through all later stages: by dictionaries and a dense table it took over 150 MB."""
+    said = subprocess.run([sys.executable, "-c", HELD, vocabulary()], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, check=True).stdout.split()
+    assert float(said[0]) < 80 and int(said[1]) > 2
+
+
+def test_bpe_automaton_is_its_definition():
+    rng = random.Random(9)
+    tokens = sorted({bytes([b]) for b in range(256)} | {bytes(rng.choice(b"abc\xff") for _ in range(rng.randint(2, 9))) for _ in range(300)})
+    ids = np.array(rng.sample(range(1000), len(tokens)), np.int32)
+    auto = bpe.Automaton(np.frombuffer(b"".join(tokens), np.uint8), np.cumsum([0, *map(len, tokens)]), ids)
+    id_of = dict(zip(tokens, ids.tolist(), strict=True))
+    texts = [bytes(rng.choice(b"abc\xffd") for _ in range(40)) for _ in range(200)]
+    state = np.zeros(len(texts), np.int32)
+    for end in range(1, 41):
+        state = auto.step(state, np.array([t[end - 1] for t in texts], np.uint8))
+        for t, at in zip(texts, state.tolist(), strict=True):
+            got, at = [], auto.near[at]
+            while at:
+                got.append((int(auto.token[at]), int(auto.length[at])))
+                at = auto.link[at]
+            assert got == [(id_of[t[k:end]], end - k) for k in range(end) if t[k:end] in id_of]
+
+
 def test_bpe_frame(spark, docs, rows):
     got = bpe.bpe_round_trip(docs, vocabulary()).collect()
     assert len(got) == len(rows)
